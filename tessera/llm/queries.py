@@ -13,8 +13,10 @@ from tessera.llm import sql
 from tessera.llm.bpe_codec import bpe_digests
 from tessera.llm.common import table
 from tessera.llm.decontaminate import decontaminate
+from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.html_text import extract_text
 from tessera.llm.line_dedup import line_dedup
+from tessera.llm.ngram_join import ngram_jaccard_join
 from tessera.llm.token_counts import token_counts
 from tessera.llm.url_filter import rules_table, url_filter
 
@@ -36,6 +38,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,10 +65,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op3_url_filter, op7_bpe_codec, op8_html_text, op9_decontaminate, op10_line_dedup)
+    for f in (op1_token_counts, op3_url_filter, op4_ngram_join, op5_embedding_dedup, op7_bpe_codec, op8_html_text, op9_decontaminate, op10_line_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": sql.URL_FILTER,
+    "op4_ngram_join": sql.NGRAM_JOIN,
+    "op5_embedding_dedup": sql.EMBEDDING_DEDUP,
     "op9_decontaminate": sql.DECONTAMINATE,
     "op10_line_dedup": sql.LINE_DEDUP,
 }
