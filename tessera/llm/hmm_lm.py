@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,9 +31,9 @@ from tessera.llm.common import Recent, _arrow_schema, cut, in_chunks, map_batche
 from tessera.llm.toxicity import held_out
 
 #: Latent states, words with a class of their own, classes by ending, words in the broadcast table.
-STATES, OWN, ENDINGS, FREQUENT = 8, 4096, 2048, 1 << 19
+STATES, OWN, ENDINGS, FREQUENT = 8, 4096, 2048, 1 << 18
 #: The start: training texts, their characters at most, and rounds in the driver. Then rounds over all training texts.
-START_TEXTS, START_CHARS, START_ROUNDS, ROUNDS = 800, 20_000, 12, 2
+START_TEXTS, START_CHARS, START_ROUNDS, ROUNDS = 400, 20_000, 12, 2
 #: Texts are cut into sequences of so many tokens for training (not for scoring).
 SEQUENCE = 512
 #: Bytes of text that are trained on at once.
@@ -66,6 +67,22 @@ def count_words(training: DataFrame) -> DataFrame:
     return found.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, frequent: int) -> pd.DataFrame:
+    """The words of the largest counts, in order, all that share a count or none: a table of fixed
+    size. The least count comes from the histogram of counts, which has few rows."""
+    histogram = sorted(((r.c, r.n) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for c, n in histogram:
+        total += n
+        if total > frequent:
+            break
+        least = c
+    found = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
+    c, key, last = (found.column(x).to_numpy() for x in ("c", "hash", "ending"))
+    order = np.lexsort((key, -c))
+    return pd.DataFrame({"hash": key[order], "ending": last[order], "c": c[order]})
+
+
 class Vocabulary:
     """The frequent words' counts and classes. Classes 0..OWN-1 are words, then endings; the end
     has the last."""
@@ -238,7 +255,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     training = own.where("NOT held").select("id", "text")
     counts = cut(count_words(training.select("text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "hash").limit(frequent).toPandas()  # a table of fixed size
+    top = most_frequent(counts, frequent)
     vocabulary = Vocabulary(top["hash"].to_numpy(np.int64), top["ending"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
     # what a class's words weigh together: counts plus one each, and one for the unseen
     mass = np.zeros(Vocabulary.CLASSES)

@@ -94,9 +94,11 @@ def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> Data
         .select("first", "h.h1", "h.h2", "w").dropDuplicates(["h1", "h2"])
     )
     size = F.size("w")
+    hashes = own.select("first", "h1", "h2", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     left_out = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("i"), F.xxhash64(_without(F.col("w"), i, size)).alias("key")))
     variants = F.concat(F.array(F.struct(F.lit(0).alias("i"), F.xxhash64("w").alias("key"))), left_out)
-    emitted = own.select("first", "h1", "h2", size.alias("n"), F.explode(variants).alias("v")).select("first", "h1", "h2", "n", "v.i", "v.key")
+    emitted = hashes.select("first", "h1", "h2", size.alias("n"), F.explode(variants).alias("v"))
+    emitted = cut(emitted.select("first", "h1", "h2", "n", "v.i", "v.key"))
     # replaced: the same place left out of lines of the same size
     same = emitted.where("i > 0").groupBy("key", "n", "i").agg(F.min("first").alias("other"), F.max("first").alias("last")).where("other < last")
     replaced = emitted.join(same, ["key", "n", "i"]).where("other < first").select("first", "h1", "h2", "other", "i", F.lit(0).alias("more"))

@@ -9,9 +9,9 @@ are expanded to member classes and verified on their whole sets.
 
 Pairs within the many groups of one shingle are not listed. The least group of each shingle is
 its pivot: all others are verified against it, a number of pairs linear in the postings. Members
-already linked to it need no pair among each other for the components; as Jaccard distance is a
-metric, the distances to the pivot exclude most of the other pairs by the triangle inequality.
-What is left is verified in the same way. No pair that could connect two components is skipped.
+already linked to it need no pair among each other for the components. Some rounds of other pivots
+connect most of those that are left; as Jaccard distance is a metric, the distances to the first
+pivot exclude most of the pairs still apart by the triangle inequality, and the rest is verified. No pair that could connect two components is skipped.
 
 Class identifiers and shingles are 64-bit hashes; a collision could move a similarity by one
 shingle. Null, empty and blank texts have the empty set and link with nothing; texts of fewer
@@ -30,6 +30,8 @@ from tessera.llm.common import Recent, cut, joined, map_batches, texts
 from tessera.llm.components import components
 
 SIZE, PERCENT = 5, 75
+#: Rounds of further pivots, before what is still apart is compared in full.
+ROUNDS = 5
 #: Share of the hash range whose shingles are ordered by document frequency. A little more than
 #: the share of a set that its prefix needs, so that a prefix rarely needs shingles beyond.
 CUT_SHARE = 0.28
@@ -144,6 +146,22 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return F.abs(a - b) <= (100 - percent) / 100 + 1e-9
 
 
+def _sizes(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _apart(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the shingles whose classes are in several components so far: the classes, ``comp`` and
+    whether they are in that of the pivot (``held``)."""
+    comp = cut(components(found))
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    comp_of = lambda c: F.coalesce(f"{c}_comp", c)
+    met = placed.join(of("class"), "class", "left").join(of("pivot"), "pivot", "left")
+    met = cut(met.select("token", "class", "n", "distance", comp_of("class").alias("comp"), (comp_of("class") == comp_of("pivot")).alias("held")))
+    several = met.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    return cut(met.join(several, "token"))
+
+
 def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links ``u``, ``v`` between classes that connect all that are similar, each verified."""
     classes = cut(
@@ -167,20 +185,27 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     sets = cut(_sets(docs, wanted, size, id_col, text_col))
     first = _verified(pairs, sets, percent)
     found = first.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comp = cut(components(found))
-    # of each shingle: the classes, their component and distance to the pivot
+    # of each shingle: its classes, with their distance to the pivot
+    distance = F.coalesce("distance", F.lit(0.0))  # the pivot itself has no pair
     placed = buckets.join(member.select("group", "class", "n"), "group").join(
         first.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "distance"), ["pivot", "class"], "left"
     )
-    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-    placed = placed.join(of("class"), "class", "left").join(of("pivot"), "pivot", "left").where("class <> pivot")
-    comp_of = lambda c: F.coalesce(f"{c}_comp", c)
-    placed = cut(placed.select("token", "class", "n", "distance", comp_of("class").alias("comp"), (comp_of("class") == comp_of("pivot")).alias("held")))
+    placed = cut(placed.select("token", "pivot", "class", "n", distance.alias("distance")))
+    for salt in range(ROUNDS):
+        now = _apart(placed, found)
+        near_to = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(salt)), "class", "comp", "n")).alias("p"))
+        again = now.join(near_to, "token").where((F.col("comp") != F.col("p.comp")) & _sizes(F.col("n"), F.col("p.n"), percent))
+        again = cut(again.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct())
+        if again.isEmpty():
+            break
+        more = _verified(again, sets, percent).where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        found = cut(found.unionByName(more))
+    placed = _apart(placed, found)
     near, far = placed.where("held"), placed.where("NOT held")
     reach = near.groupBy("token").agg(F.max("distance").alias("reach"))
     side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "distance", "comp")))
     far_in_reach = far.join(reach, "token").where(F.col("distance") <= F.col("reach") + (100 - percent) / 100 + 1e-9).select(*far.columns)
-    fits = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & _close(F.col("distance_x"), F.col("distance_y"), percent) & (F.col("comp_x") != F.col("comp_y"))
+    fits = _sizes(F.col("n_x"), F.col("n_y"), percent) & _close(F.col("distance_x"), F.col("distance_y"), percent) & (F.col("comp_x") != F.col("comp_y"))
     across = side(far_in_reach, "x").join(side(near, "y"), "token").where(fits)
     among = side(far, "x").join(side(far, "y"), "token").where(fits & (F.col("class_x") < F.col("class_y")))
     rest = across.unionByName(among).select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct()
