@@ -31,7 +31,7 @@ from tessera.llm.components import components
 
 SIZE, PERCENT = 5, 75
 #: Rounds of further pivots, before what is still apart is compared in full.
-ROUNDS = 5
+ROUNDS = 3
 #: Share of the hash range whose shingles are ordered by document frequency. A little more than
 #: the share of a set that its prefix needs, so that a prefix rarely needs shingles beyond.
 CUT_SHARE = 0.28
@@ -150,16 +150,16 @@ def _sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _apart(placed: DataFrame, found: DataFrame) -> DataFrame:
+def _apart(placed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the shingles whose classes are in several components so far: the classes, ``comp`` and
-    whether they are in that of the pivot (``held``)."""
+    whether they are in that of the pivot (``held``); and the links as stars, one a component."""
     comp = cut(components(found))
     of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
     comp_of = lambda c: F.coalesce(f"{c}_comp", c)
     met = placed.join(of("class"), "class", "left").join(of("pivot"), "pivot", "left")
     met = cut(met.select("token", "class", "n", "distance", comp_of("class").alias("comp"), (comp_of("class") == comp_of("pivot")).alias("held")))
     several = met.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    return cut(met.join(several, "token"))
+    return cut(met.join(several, "token")), comp.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
 
 
 def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -192,15 +192,15 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     )
     placed = cut(placed.select("token", "pivot", "class", "n", distance.alias("distance")))
     for salt in range(ROUNDS):
-        now = _apart(placed, found)
+        now, found = _apart(placed, found)
         near_to = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(salt)), "class", "comp", "n")).alias("p"))
         again = now.join(near_to, "token").where((F.col("comp") != F.col("p.comp")) & _sizes(F.col("n"), F.col("p.n"), percent))
         again = cut(again.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct())
         if again.isEmpty():
             break
         more = _verified(again, sets, percent).where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found = cut(found.unionByName(more))
-    placed = _apart(placed, found)
+        found = found.unionByName(more)
+    placed, found = _apart(placed, found)
     near, far = placed.where("held"), placed.where("NOT held")
     reach = near.groupBy("token").agg(F.max("distance").alias("reach"))
     side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "distance", "comp")))
