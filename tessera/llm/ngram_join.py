@@ -7,11 +7,14 @@ similarity of t share a shingle among the first ``n - ceil(t n) + 1`` of each. C
 equal prefix and size form one group. Groups that share a prefix shingle are paired, the pairs
 are expanded to member classes and verified on their whole sets.
 
-Pairs within the many groups of one shingle are not listed. The least group of each shingle is
-its pivot: all others are verified against it, a number of pairs linear in the postings. Members
-already linked to it need no pair among each other for the components. Some rounds of other pivots
-connect most of those that are left; as Jaccard distance is a metric, the distances to the first
-pivot exclude most of the pairs still apart by the triangle inequality, and the rest is verified. No pair that could connect two components is skipped.
+Pairs within the many groups of one shingle are not listed. The most typical group of each shingle
+is its pivot: all others are verified against it, a number of pairs linear in the postings. Members
+linked to it need no pair among each other for the components. Where many are apart from it, the
+member that differs least from all others takes its place. What is still apart from its pivot is
+compared with the pivot's other members: where few are apart, pair by pair within the bounds of the
+triangle inequality; where many are, by a prefix join on their differences from the pivot. Two sets
+that are linked while one lies beyond the threshold from the pivot must share a part of these
+differences that their sizes give exactly. No pair that could connect two components is skipped.
 
 Class identifiers and shingles are 64-bit hashes; a collision could move a similarity by one
 shingle. Null, empty and blank texts have the empty set and link with nothing; texts of fewer
@@ -23,15 +26,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Recent, cut, joined, map_batches, texts
 from tessera.llm.components import components
 
 SIZE, PERCENT = 5, 75
-#: Rounds of further pivots, before what is still apart is compared in full.
-ROUNDS = 3
+#: Members apart from a pivot, up to which they are compared pair by pair; beyond, by their differences.
+LISTED = 16
 #: Share of the hash range whose shingles are ordered by document frequency. A little more than
 #: the share of a set that its prefix needs, so that a prefix rarely needs shingles beyond.
 CUT_SHARE = 0.28
@@ -119,7 +122,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
 
 
 def _prefixes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Each class's prefix shingles that other classes have too, and its group."""
+    """Each class's prefix shingles that other classes have too, its group, and how frequent its
+    shingles are on average (``typical``): copies with few changes come first."""
     own = shared.groupBy("class").agg(F.collect_set(F.struct("df", "token")).alias("own"))
     at = own.join(classes, "class").withColumn("k", F.expr(f"n - (n * {percent} + 99) div 100 + 1"))
     low = F.array_sort(F.filter("own", lambda x: x["token"] < CUT_HASH))
@@ -129,37 +133,96 @@ def _prefixes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     room = F.greatest(F.lit(0), F.col("k") - single).cast("int")
     prefix = F.concat(F.slice("low", F.lit(1), room), F.col("high"))["token"]
     alone = (single > 0) | (F.col("k") - F.col("below") > F.size("high"))
-    at = at.select("class", "doc", "n", F.array_sort(prefix).alias("prefix"), alone.alias("alone")).where(F.size("prefix") > 0)
+    typical = F.aggregate("low", F.lit(0.0), lambda total, x: total + F.log2(x["df"])) / F.greatest(F.lit(1), "below")
+    at = at.select("class", "doc", "n", F.array_sort(prefix).alias("prefix"), alone.alias("alone"), typical.alias("typical")).where(F.size("prefix") > 0)
     return at.withColumn("same", F.when(F.col("alone"), F.xxhash64("class", F.lit(0))).otherwise(F.xxhash64("n", "prefix", F.lit(1))))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``, ``distance`` (Jaccard) and ``link`` of each pair, on whole sets."""
-    left, right = (sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).cast("bigint").alias("sum"))
-    either = F.col("sum") - F.col("both")
-    return cut(met.select("a", "b", (1 - F.col("both") / either).alias("distance"), (100 * F.col("both") >= percent * either).alias("link")))
-
+def _linked(n: Column, d: Column, percent: int) -> Column:
+    """Whether two sets of ``n`` elements together that differ in ``d`` of them are similar."""
+    return (100 + percent) * d <= (100 - percent) * n
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    return F.abs(a - b) <= (100 - percent) / 100 + 1e-9
 
-
-def _sizes(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``, their sizes, the elements ``d`` in one of them only, and ``link`` of each pair,
+    on whole sets."""
+    left, right = (sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    size = lambda c: F.size(c).cast("bigint")
+    met = met.select("a", "b", size("set_a").alias("n_a"), size("set_b").alias("n_b"), size(F.array_intersect("set_a", "set_b")).alias("both"))
+    met = met.withColumn("d", F.col("n_a") + F.col("n_b") - 2 * F.col("both")).drop("both")
+    return cut(met.withColumn("link", _linked(F.col("n_a") + F.col("n_b"), F.col("d"), percent)))
+
+
+def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{name}") for c in ("b", "n_b", "d", "comp")), *columns)
+
+
+def _fits(percent: int) -> Column:
+    """Pairs across components that sizes and the triangle inequality leave."""
+    n = F.col("n_b_x") + F.col("n_b_y")
+    return (F.col("comp_x") != F.col("comp_y")) & _linked(n, F.abs(F.col("n_b_x") - F.col("n_b_y")), percent) & _linked(n, F.abs(F.col("d_x") - F.col("d_y")), percent)
+
+
+def _differing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``diff``, the elements in which b's set differs from a's."""
+    of = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    return met.withColumn("diff", F.concat(F.array_except("set_b", "set_a"), F.array_except("set_a", "set_b"))).drop("set_a", "set_b")
+
+
+def _centred(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pivots with many members apart: ``old``, the member ``a`` that differs least from all of
+    them together, if it does so less than the pivot, and each other member ``b``. The sum of a
+    member's differences follows from how many members share each element of its own."""
+    posted = _differing(many.select("a", "b", "members"), sets).select("a", "b", "members", F.explode("diff").alias("token"))
+    beside = posted.groupBy("a", "token").agg(F.count("*").alias("df"))
+    sums = posted.join(beside, ["a", "token"]).groupBy("a", "b").agg(F.sum(F.col("members") + 1 - 2 * F.col("df")).alias("beyond"))
+    centre = sums.groupBy("a").agg(F.min(F.struct("beyond", "b")).alias("least")).where("least.beyond < 0").select("a", F.col("least.b").alias("centre"))
+    members = many.select("a", "b").unionByName(many.select("a", F.col("a").alias("b")).distinct())
+    return cut(members.join(centre, "a").where("b <> centre").select(F.col("a").alias("old"), F.col("centre").alias("a"), "b"))
+
+
+def _differences(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``b_x`` (apart from its pivot) and ``b_y`` that may be linked: with differences of d_x
+    and d_y elements from the pivot they share d_x + d_y less what a link allows, halved, of these
+    at least. The differences are in order of rarity among the pivot's members."""
+    up, down = 100 + percent, 100 - percent
+    met = _differing(many, sets)
+    # what any partner of one apart shares with it, and what any member shares with a partner apart
+    apart = F.expr(f"d - greatest(1, ceil(({up} * d - {down} * (n_b + n_a)) / {2 * up})) + 1")
+    other = F.expr(f"d - greatest(0, floor(({up} * d - {down} * (n_b - n_a)) / {2 * up}))")
+    met = met.withColumn("probes", F.when(F.col("held"), 0).otherwise(apart).cast("int")).withColumn("kept", other.cast("int"))
+    met = met.select("a", "b", "n_b", "d", "comp", "probes", "kept", F.explode("diff").alias("token"))
+    beside = met.groupBy("a", "token").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("a", "b").orderBy("df", "token")
+    met = met.join(beside, ["a", "token"]).withColumn("at", F.row_number().over(rarest) - 1)
+    posted = cut(met.where((F.col("df") > 1) & (F.col("at") < F.greatest("probes", "kept"))))
+    x = _side(posted.where("at < probes"), "x", "a", "token", F.col("at").alias("at_x"))
+    y = _side(posted.where("at < kept"), "y", "a", "token", F.col("at").alias("at_y"))
+    shared = up * (F.col("d_x") + F.col("d_y")) - down * (F.col("n_b_x") + F.col("n_b_y"))
+    enough = shared <= 2 * up * F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y"))
+    met = x.withColumnRenamed("a", "a_x").withColumnRenamed("token", "token_x").join(y, (F.col("a_x") == F.col("a")) & (F.col("token_x") == F.col("token")) & _fits(percent) & enough)
+    return met.select("b_x", "b_y")
+
+
+def _placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Members ``b`` of pivots ``a`` that are not all in one component of the links: ``comp``,
+    whether it is the pivot's (``held``), and how many are ``apart`` of the pivot's ``members``."""
+    comp = components(found)
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    met = pairs.join(of("b"), "b", "left").join(of("a"), "a", "left").withColumn("comp", F.coalesce("b_comp", "b"))
+    met = cut(met.select("a", "b", "n_a", "n_b", "d", "comp", (F.col("comp") == F.coalesce("a_comp", "a")).alias("held")))
+    apart = met.groupBy("a").agg(F.count_if(~F.col("held")).alias("apart"), F.count("*").alias("members")).where("apart > 0 AND members > 1")
+    return cut(met.join(apart, "a"))
 
 
-def _apart(placed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the shingles whose classes are in several components so far: the classes, ``comp`` and
-    whether they are in that of the pivot (``held``); and the links as stars, one a component."""
-    comp = cut(components(found))
-    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-    comp_of = lambda c: F.coalesce(f"{c}_comp", c)
-    met = placed.join(of("class"), "class", "left").join(of("pivot"), "pivot", "left")
-    met = cut(met.select("token", "class", "n", "distance", comp_of("class").alias("comp"), (comp_of("class") == comp_of("pivot")).alias("held")))
-    several = met.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    return cut(met.join(several, "token")), comp.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of members of one pivot, in different components so far, that may be linked."""
+    few = placed.where(F.col("apart") <= LISTED)
+    listed = _side(few.where("NOT held"), "x", F.col("a").alias("a_x")).join(_side(few, "y", "a"), (F.col("a_x") == F.col("a")) & _fits(percent)).select("b_x", "b_y")
+    found = listed.unionByName(_differences(placed.where(F.col("apart") > LISTED), sets, percent))
+    return cut(found.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct())
 
 
 def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -171,12 +234,11 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     shared = cut(counted.where("df > 1"))
     grouped = cut(_prefixes(shared, classes, percent))
     member = cut(
-        grouped.join(grouped.groupBy("same").agg(F.min("class").alias("group")), "same").select("class", "group", "n", "doc", "prefix")
+        grouped.join(grouped.groupBy("same").agg(F.max(F.struct("typical", "class"))["class"].alias("group")), "same").select("class", "group", "prefix", "typical")
     )
-    posted = cut(member.where("class = group").select("group", F.explode("prefix").alias("token")))
-    pivots = posted.groupBy("token").agg(F.min("group").alias("pivot"), F.count("*").alias("groups")).where("groups > 1").select("token", "pivot")
-    buckets = cut(posted.join(pivots, "token"))
-    group_pairs = buckets.where("group <> pivot").select(F.col("pivot").alias("a"), "group").distinct()
+    posted = cut(member.where("class = group").select("group", "typical", F.explode("prefix").alias("token")))
+    pivots = posted.groupBy("token").agg(F.max(F.struct("typical", "group"))["group"].alias("pivot"), F.count("*").alias("groups")).where("groups > 1")
+    group_pairs = posted.join(pivots, "token").where("group <> pivot").select(F.col("pivot").alias("a"), "group").distinct()
     expanded = group_pairs.join(member.select("group", F.col("class").alias("b")), "group").select("a", "b")
     inside = member.where("class <> group").select(F.col("group").alias("a"), F.col("class").alias("b"))
     pairs = cut(expanded.unionByName(inside).distinct())
@@ -184,33 +246,15 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     wanted = cut(ends.join(classes.select("class", "doc"), "class"))
     sets = cut(_sets(docs, wanted, size, id_col, text_col))
     first = _verified(pairs, sets, percent)
-    found = first.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # of each shingle: its classes, with their distance to the pivot
-    distance = F.coalesce("distance", F.lit(0.0))  # the pivot itself has no pair
-    placed = buckets.join(member.select("group", "class", "n"), "group").join(
-        first.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "distance"), ["pivot", "class"], "left"
-    )
-    placed = cut(placed.select("token", "pivot", "class", "n", distance.alias("distance")))
-    for salt in range(ROUNDS):
-        now, found = _apart(placed, found)
-        near_to = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(salt)), "class", "comp", "n")).alias("p"))
-        again = now.join(near_to, "token").where((F.col("comp") != F.col("p.comp")) & _sizes(F.col("n"), F.col("p.n"), percent))
-        again = cut(again.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct())
-        if again.isEmpty():
-            break
-        more = _verified(again, sets, percent).where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found = found.unionByName(more)
-    placed, found = _apart(placed, found)
-    near, far = placed.where("held"), placed.where("NOT held")
-    reach = near.groupBy("token").agg(F.max("distance").alias("reach"))
-    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "distance", "comp")))
-    far_in_reach = far.join(reach, "token").where(F.col("distance") <= F.col("reach") + (100 - percent) / 100 + 1e-9).select(*far.columns)
-    fits = _sizes(F.col("n_x"), F.col("n_y"), percent) & _close(F.col("distance_x"), F.col("distance_y"), percent) & (F.col("comp_x") != F.col("comp_y"))
-    across = side(far_in_reach, "x").join(side(near, "y"), "token").where(fits)
-    among = side(far, "x").join(side(far, "y"), "token").where(fits & (F.col("class_x") < F.col("class_y")))
-    rest = across.unionByName(among).select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct()
-    second = _verified(cut(rest), sets, percent)
-    return found.unionByName(second.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    linked = lambda df: df.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found, placed = linked(first), _placed(first, linked(first))
+    centred = _centred(placed.where(F.col("apart") > LISTED), sets)
+    if not centred.isEmpty():
+        again = _verified(cut(centred.select("a", "b").distinct()), sets, percent)
+        found = found.unionByName(linked(again))
+        rest = first.join(centred.select(F.col("old").alias("a")).distinct(), "a", "left_anti")
+        placed = _placed(rest.unionByName(again), found)
+    return found.unionByName(linked(_verified(_across(placed, sets, percent), sets, percent)))
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
