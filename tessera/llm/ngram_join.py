@@ -143,11 +143,19 @@ def _linked(n: Column, d: Column, percent: int) -> Column:
     return (100 + percent) * d <= (100 - percent) * n
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``set_a`` and ``set_b``. Only sets that a side has are shuffled."""
+    for x in "ab":
+        wanted = cut(pairs.select(F.col(x).alias("class")).distinct())
+        own = joined(sets, wanted, "class", "left_semi").select(F.col("class").alias(x), F.col("set").alias(f"set_{x}"))
+        pairs = pairs.join(own, x)
+    return pairs
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a``, ``b``, their sizes, the elements ``d`` in one of them only, and ``link`` of each pair,
     on whole sets."""
-    left, right = (sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    met = pairs.join(left, "a").join(right, "b")
+    met = _with_sets(pairs, sets)
     size = lambda c: F.size(c).cast("bigint")
     met = met.select("a", "b", size("set_a").alias("n_a"), size("set_b").alias("n_b"), size(F.array_intersect("set_a", "set_b")).alias("both"))
     met = met.withColumn("d", F.col("n_a") + F.col("n_b") - 2 * F.col("both")).drop("both")
@@ -165,19 +173,21 @@ def _fits(percent: int) -> Column:
 
 
 def _differing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``diff``, the elements in which b's set differs from a's."""
-    of = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    return met.withColumn("diff", F.concat(F.array_except("set_b", "set_a"), F.array_except("set_a", "set_b"))).drop("set_a", "set_b")
+    """``a``, ``b``, ``token`` and ``df``: the elements in which b's set differs from a's and others'
+    do too, and how many of a's members do."""
+    diff = F.concat(F.array_except("set_b", "set_a"), F.array_except("set_a", "set_b"))
+    posted = cut(_with_sets(pairs.select("a", "b"), sets).select("a", "b", F.explode(diff).alias("token")))
+    beside = posted.groupBy("a", "token").agg(F.count("*").alias("df")).where("df > 1")
+    return posted.join(beside, ["a", "token"])
 
 
 def _centred(many: DataFrame, sets: DataFrame) -> DataFrame:
     """For pivots with many members apart: ``old``, the member ``a`` that differs least from all of
     them together, if it does so less than the pivot, and each other member ``b``. The sum of a
     member's differences follows from how many members share each element of its own."""
-    posted = _differing(many.select("a", "b", "members"), sets).select("a", "b", "members", F.explode("diff").alias("token"))
-    beside = posted.groupBy("a", "token").agg(F.count("*").alias("df"))
-    sums = posted.join(beside, ["a", "token"]).groupBy("a", "b").agg(F.sum(F.col("members") + 1 - 2 * F.col("df")).alias("beyond"))
+    common = _differing(many, sets).groupBy("a", "b").agg(F.sum(F.col("df") - 1).alias("common"))
+    beyond = (F.col("members") - 1) * F.col("d") - 2 * F.coalesce("common", F.lit(0))
+    sums = many.join(common, ["a", "b"], "left").select("a", "b", beyond.alias("beyond"))
     centre = sums.groupBy("a").agg(F.min(F.struct("beyond", "b")).alias("least")).where("least.beyond < 0").select("a", F.col("least.b").alias("centre"))
     members = many.select("a", "b").unionByName(many.select("a", F.col("a").alias("b")).distinct())
     return cut(members.join(centre, "a").where("b <> centre").select(F.col("a").alias("old"), F.col("centre").alias("a"), "b"))
@@ -188,16 +198,15 @@ def _differences(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and d_y elements from the pivot they share d_x + d_y less what a link allows, halved, of these
     at least. The differences are in order of rarity among the pivot's members."""
     up, down = 100 + percent, 100 - percent
-    met = _differing(many, sets)
     # what any partner of one apart shares with it, and what any member shares with a partner apart
     apart = F.expr(f"d - greatest(1, ceil(({up} * d - {down} * (n_b + n_a)) / {2 * up})) + 1")
     other = F.expr(f"d - greatest(0, floor(({up} * d - {down} * (n_b - n_a)) / {2 * up}))")
-    met = met.withColumn("probes", F.when(F.col("held"), 0).otherwise(apart).cast("int")).withColumn("kept", other.cast("int"))
-    met = met.select("a", "b", "n_b", "d", "comp", "probes", "kept", F.explode("diff").alias("token"))
-    beside = met.groupBy("a", "token").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("a", "b").orderBy("df", "token")
-    met = met.join(beside, ["a", "token"]).withColumn("at", F.row_number().over(rarest) - 1)
-    posted = cut(met.where((F.col("df") > 1) & (F.col("at") < F.greatest("probes", "kept"))))
+    own = many.select("a", "b", "n_b", "d", "comp", F.when(F.col("held"), 0).otherwise(apart).alias("probes"), other.alias("kept"))
+    each = Window.partitionBy("a", "b")
+    # elements that no other member shares come first, and need no row
+    at = F.row_number().over(each.orderBy("df", "token")) - 1 - F.count("*").over(each)
+    met = _differing(many, sets).withColumn("at", at).drop("df").join(own, ["a", "b"]).withColumn("at", F.col("at") + F.col("d"))
+    posted = cut(met.where(F.col("at") < F.greatest("probes", "kept")))
     x = _side(posted.where("at < probes"), "x", "a", "token", F.col("at").alias("at_x"))
     y = _side(posted.where("at < kept"), "y", "a", "token", F.col("at").alias("at_y"))
     shared = up * (F.col("d_x") + F.col("d_y")) - down * (F.col("n_b_x") + F.col("n_b_y"))
