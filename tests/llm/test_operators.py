@@ -1,6 +1,8 @@
 """Each operator against SQL, a library or brute force, and on nulls, empty texts, ties, repeated
 rows, empty tables and clashing column names."""
 
+import itertools
+import random
 import hashlib
 import zlib
 from collections import Counter
@@ -229,3 +231,27 @@ def test_nothing_else_imports_this_subpackage():
 
     top = pathlib.Path(__file__).parents[2] / "tessera"
     assert not [p for p in top.rglob("*.py") if "llm" not in p.parts and "tessera.llm" in p.read_text()]
+
+
+def test_ngram_join_among_many_apart(spark):
+    """Near copies at distances around the threshold, more apart from the pivot than are listed
+    pair by pair: the components equal those of a comparison of all pairs."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 3)):
+            words[at] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets, least = [set(shingles(t).tolist()) for _, t in rows], list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if least[i] != least[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                least[i] = least[j] = min(least[i], least[j])
+                changed = True
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()} == dict(enumerate(least))
+    assert len(set(least)) > 17
