@@ -6,12 +6,16 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, str] = {}
+#: Where the tables are that ``cut`` wrote.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +47,26 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again: lineage ends there,
-    and a lost executor costs no more than the tasks that read the table."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and a lost executor costs no more than the tasks that read the table. The shuffle files of
+    the write go with its end, as nothing reads them again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that ``cut`` wrote, once all that derives from them is written itself."""
+    for df in tables:
+        if df is not None and (path := _WRITTEN.pop(df, None)):
+            _remove(df.sparkSession, path)
 
 
 def stored_bytes(df: DataFrame) -> int:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, joined, map_batches
+from tessera.llm.common import cut, discard, joined, map_batches
 from tessera.llm.components import components
 
 THRESHOLD = 0.95
@@ -181,6 +181,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     sizes = cut(placed.groupBy("leaf").agg(F.ceil(F.count("*") / TILE).alias("tiles")))
     dealt = placed.join(F.broadcast(sizes), "leaf").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))  # LEAVES rows
     tiles = cut(dealt.groupBy("leaf", "tile").agg(F.collect_list(F.struct("class", "copies", "x")).alias("rows")))
+    discard(placed, sizes)
     near = spark.createDataFrame(tree.neighbours(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9) or [(-1, -1)], "leaf_a int, leaf_b int")
     one, two = (tiles.select(F.col("leaf").alias(f"leaf_{s}"), F.col("tile").alias(f"tile_{s}"), F.col("rows").alias(f"rows_{s}")) for s in "ab")
     pairs = one.join(near, "leaf_a").join(two, "leaf_b").where("leaf_a < leaf_b OR tile_a <= tile_b")
@@ -217,10 +218,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         results = cut(map_batches(pairs, compared, "u bigint, v bigint, links bigint"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    discard(tiles)
     comp = components(results.where("v IS NOT NULL").select("u", "v"))
     counts = results.groupBy(F.col("u").alias("class")).agg(F.sum("links").alias("links"))
     known = kinds.select("class", "copies", "least").join(counts, "class", "left").join(comp.withColumnRenamed("node", "class"), "class", "left")
     known = cut(known.withColumn("comp", F.coalesce("comp", "class")).withColumn("n", F.coalesce("links", F.lit(0)) + F.col("copies") - 1))
+    discard(kinds, results)
     least = known.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = cut(known.where("n > 0").join(least, "comp").select("class", "n", "component_id"))
     out = joined(found.select("vec", "class"), named, "class", "left")

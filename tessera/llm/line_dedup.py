@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, joined
+from tessera.llm.common import cut, discard, joined
 
 MIN_WORDS, FUZZY_WORDS = 5, 8
 #: Bytes on disk up to which the lines to drop are broadcast to the documents.
@@ -69,13 +69,15 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int
         found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
     )
     repeated = kinds.where("copies > 1").select("h1", "h2", "first")
-    earlier = cut(repeated.unionByName(_near(docs, kinds, id_col, text_col)).groupBy("h1", "h2").agg(F.min("first").alias("first")))
+    near, scratch = _near(docs, kinds, id_col, text_col)
+    earlier = cut(repeated.unionByName(near).groupBy("h1", "h2").agg(F.min("first").alias("first")))
+    discard(kinds, *scratch)
     return joined(found.select("doc", "pos", "h1", "h2"), earlier, ["h1", "h2"], "inner", BROADCAST).where(F.col("first") < place).select("doc", "pos", "first")
 
 
-def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
     """``h1``, ``h2`` and ``first`` of lines with another within the bound that stands earlier:
-    that one's place."""
+    that one's place. Second, the tables to discard after it."""
     halves = kinds.select("h1", "h2", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a <> b").select("half")
     wanted = cut(halves.join(shared, "half", "left_semi").select("first", "h1", "h2").distinct())
@@ -93,6 +95,7 @@ def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> Data
         .where((F.xxhash64("w") == F.col("h.h1")) & (F.xxhash64(F.lit(17), "w") == F.col("h.h2")))
         .select("first", "h.h1", "h.h2", "w").dropDuplicates(["h1", "h2"])
     )
+    discard(wanted, by_doc)
     size = F.size("w")
     hashes = own.select("first", "h1", "h2", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     left_out = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("i"), F.xxhash64(_without(F.col("w"), i, size)).alias("key")))
@@ -121,7 +124,7 @@ def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> Data
     exact = F.when(F.col("more") == 0, (n == m) & (_without(F.col("w"), i, n) == _without(F.col("u"), i, m))).otherwise(
         _without(longer, i, F.size(longer)) == shorter
     )
-    return checked.where(exact).groupBy("h1", "h2").agg(F.min("other").alias("first"))
+    return checked.where(exact).groupBy("h1", "h2").agg(F.min("other").alias("first")), [own, emitted]
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Recent, cut, joined, map_batches, texts
+from tessera.llm.common import Recent, cut, discard, joined, map_batches, texts
 from tessera.llm.components import components
 
 SIZE, PERCENT = 5, 75
@@ -172,31 +172,35 @@ def _fits(percent: int) -> Column:
     return (F.col("comp_x") != F.col("comp_y")) & _linked(n, F.abs(F.col("n_b_x") - F.col("n_b_y")), percent) & _linked(n, F.abs(F.col("d_x") - F.col("d_y")), percent)
 
 
-def _differing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _differing(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``a``, ``b``, ``token`` and ``df``: the elements in which b's set differs from a's and others'
-    do too, and how many of a's members do."""
+    do too, and how many of a's members do. Second, the table to discard after it."""
     diff = F.concat(F.array_except("set_b", "set_a"), F.array_except("set_a", "set_b"))
     posted = cut(_with_sets(pairs.select("a", "b"), sets).select("a", "b", F.explode(diff).alias("token")))
     beside = posted.groupBy("a", "token").agg(F.count("*").alias("df")).where("df > 1")
-    return posted.join(beside, ["a", "token"])
+    return posted.join(beside, ["a", "token"]), posted
 
 
 def _centred(many: DataFrame, sets: DataFrame) -> DataFrame:
     """For pivots with many members apart: ``old``, the member ``a`` that differs least from all of
     them together, if it does so less than the pivot, and each other member ``b``. The sum of a
     member's differences follows from how many members share each element of its own."""
-    common = _differing(many, sets).groupBy("a", "b").agg(F.sum(F.col("df") - 1).alias("common"))
+    differing, scratch = _differing(many, sets)
+    common = differing.groupBy("a", "b").agg(F.sum(F.col("df") - 1).alias("common"))
     beyond = (F.col("members") - 1) * F.col("d") - 2 * F.coalesce("common", F.lit(0))
     sums = many.join(common, ["a", "b"], "left").select("a", "b", beyond.alias("beyond"))
     centre = sums.groupBy("a").agg(F.min(F.struct("beyond", "b")).alias("least")).where("least.beyond < 0").select("a", F.col("least.b").alias("centre"))
     members = many.select("a", "b").unionByName(many.select("a", F.col("a").alias("b")).distinct())
-    return cut(members.join(centre, "a").where("b <> centre").select(F.col("a").alias("old"), F.col("centre").alias("a"), "b"))
+    out = cut(members.join(centre, "a").where("b <> centre").select(F.col("a").alias("old"), F.col("centre").alias("a"), "b"))
+    discard(scratch)
+    return out
 
 
-def _differences(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _differences(many: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs ``b_x`` (apart from its pivot) and ``b_y`` that may be linked: with differences of d_x
     and d_y elements from the pivot they share d_x + d_y less what a link allows, halved, of these
-    at least. The differences are in order of rarity among the pivot's members."""
+    at least. The differences are in order of rarity among the pivot's members. Second, the table to
+    discard after it."""
     up, down = 100 + percent, 100 - percent
     # what any partner of one apart shares with it, and what any member shares with a partner apart
     apart = F.expr(f"d - greatest(1, ceil(({up} * d - {down} * (n_b + n_a)) / {2 * up})) + 1")
@@ -205,14 +209,16 @@ def _differences(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = Window.partitionBy("a", "b")
     # elements that no other member shares come first, and need no row
     at = F.row_number().over(each.orderBy("df", "token")) - 1 - F.count("*").over(each)
-    met = _differing(many, sets).withColumn("at", at).drop("df").join(own, ["a", "b"]).withColumn("at", F.col("at") + F.col("d"))
+    differing, scratch = _differing(many, sets)
+    met = differing.withColumn("at", at).drop("df").join(own, ["a", "b"]).withColumn("at", F.col("at") + F.col("d"))
     posted = cut(met.where(F.col("at") < F.greatest("probes", "kept")))
+    discard(scratch)
     x = _side(posted.where("at < probes"), "x", "a", "token", F.col("at").alias("at_x"))
     y = _side(posted.where("at < kept"), "y", "a", "token", F.col("at").alias("at_y"))
     shared = up * (F.col("d_x") + F.col("d_y")) - down * (F.col("n_b_x") + F.col("n_b_y"))
     enough = shared <= 2 * up * F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y"))
     met = x.withColumnRenamed("a", "a_x").withColumnRenamed("token", "token_x").join(y, (F.col("a_x") == F.col("a")) & (F.col("token_x") == F.col("token")) & _fits(percent) & enough)
-    return met.select("b_x", "b_y")
+    return met.select("b_x", "b_y"), posted
 
 
 def _placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -230,8 +236,11 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` of members of one pivot, in different components so far, that may be linked."""
     few = placed.where(F.col("apart") <= LISTED)
     listed = _side(few.where("NOT held"), "x", F.col("a").alias("a_x")).join(_side(few, "y", "a"), (F.col("a_x") == F.col("a")) & _fits(percent)).select("b_x", "b_y")
-    found = listed.unionByName(_differences(placed.where(F.col("apart") > LISTED), sets, percent))
-    return cut(found.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct())
+    differing, scratch = _differences(placed.where(F.col("apart") > LISTED), sets, percent)
+    found = listed.unionByName(differing)
+    out = cut(found.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct())
+    discard(scratch)
+    return out
 
 
 def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -242,6 +251,7 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     counted = _postings(docs, size, percent, text_col).selectExpr("token", "class", "count(*) OVER (PARTITION BY token) AS df")
     shared = cut(counted.where("df > 1"))
     grouped = cut(_prefixes(shared, classes, percent))
+    discard(shared)
     member = cut(
         grouped.join(grouped.groupBy("same").agg(F.max(F.struct("typical", "class"))["class"].alias("group")), "same").select("class", "group", "prefix", "typical")
     )
@@ -251,19 +261,26 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     expanded = group_pairs.join(member.select("group", F.col("class").alias("b")), "group").select("a", "b")
     inside = member.where("class <> group").select(F.col("group").alias("a"), F.col("class").alias("b"))
     pairs = cut(expanded.unionByName(inside).distinct())
+    discard(grouped, member, posted)
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = cut(ends.join(classes.select("class", "doc"), "class"))
     sets = cut(_sets(docs, wanted, size, id_col, text_col))
+    discard(classes, wanted)
     first = _verified(pairs, sets, percent)
+    discard(pairs)
     linked = lambda df: df.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found, placed = linked(first), _placed(first, linked(first))
     centred = _centred(placed.where(F.col("apart") > LISTED), sets)
+    again = None
     if not centred.isEmpty():
         again = _verified(cut(centred.select("a", "b").distinct()), sets, percent)
         found = found.unionByName(linked(again))
         rest = first.join(centred.select(F.col("old").alias("a")).distinct(), "a", "left_anti")
         placed = _placed(rest.unionByName(again), found)
-    return found.unionByName(linked(_verified(_across(placed, sets, percent), sets, percent)))
+    last = _verified(across := _across(placed, sets, percent), sets, percent)
+    out = cut(found.unionByName(linked(last)))
+    discard(first, centred, again, placed, across, last, sets)
+    return out
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
