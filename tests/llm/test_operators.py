@@ -226,6 +226,28 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_pipeline_drops_documents_with_one_passage(spark, tmp_path):
+    """The stage's decisions against a search for each window of each item."""
+    import corpus_pipeline
+
+    items = [(k, " ".join(f"i{k}x{n}" for n in range(12))) for k in range(3)] + [(3, "short item")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one, two = items[0][1].split(), items[1][1].split()
+    rows = [
+        (1, "clean words only"), (2, f"a {' '.join(one)} b"), (3, f"a {' '.join(one[2:10])} b"), (4, f"a {' '.join(one[2:9])} b"),
+        (5, " ".join(one + two)), (6, "A short, item!"), (7, "short"), (8, None), (None, " ".join(one)), (9, f"x {' '.join(two).upper()}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = lambda t: " " + " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split()) + " "
+    windows = set()
+    for _, text in items:
+        words = plain(text).split()
+        windows |= {plain(" ".join(words[i : i + 8])) for i in range(max(1, len(words) - 7))}
+    expected = {i for i, t in rows if i is None or not any(w in plain(t) for w in windows)}
+    assert expected == {1, 4, 7, 8, None}
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()} == expected
+
+
 def test_nothing_else_imports_this_subpackage():
     import pathlib
 
