@@ -31,9 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier go, and with them documents of which nothing is left. A text that
-    lost lines gets its new length as n_chars."""
-    out = line_dedup(docs).where("NOT line_dedup.emptied")
+    """Lines that stand earlier go, however short, and with them documents of which nothing is
+    left. A text that lost lines gets its new length as n_chars."""
+    out = line_dedup(docs, short=True).where("NOT line_dedup.emptied")
     n_chars = F.when(F.col("line_dedup.n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

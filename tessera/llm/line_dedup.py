@@ -3,8 +3,9 @@
 The edit bound is one word inserted, deleted or replaced. A line of ``fuzzy_words`` words or
 more emits, as hashed keys, every variant with one word left out, and itself; lines with equal
 variants meet, their edit distance is verified on the words, and the earliest line (by document,
-then line) is kept. Lines of ``min_words`` words or more that are equal always meet; shorter
-lines are left alone, as they repeat by chance. Case and blanks at the ends do not count.
+then line) is kept. Lines of ``min_words`` words or more that are equal always meet, and with
+``short`` all equal lines that are not blank; otherwise shorter lines are left alone. Case and
+blanks at the ends do not count.
 
 A line is dropped if an equal line or one within the bound stands earlier, whether or not that
 one is kept itself: each decision depends on the input alone.
@@ -53,13 +54,13 @@ def _without(words: Column, i: Column, n: Column) -> Column:
     return F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n - i))
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``doc``, ``pos`` (from 0) of each line to drop, with ``first`` (doc, pos) of the earliest
     line that it repeats."""
-    lines = _lines(docs, id_col, text_col).select("doc", "pos", _words(F.col("line")).alias("w"))
+    lines = _lines(docs, id_col, text_col).select("doc", "pos", _words(F.col("line")).alias("w"), F.col("line").rlike(r"\S").alias("solid"))
     n = F.size("w")
     found = cut(
-        lines.where(n >= min_words).select(
+        lines.where((n >= min_words) | F.col("solid") if short else n >= min_words).select(
             "doc", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(17), "w").alias("h2"),
             F.when(n >= fuzzy_words, _half_keys(F.col("w"), n, fuzzy_words)).alias("halves"),
         )
@@ -127,12 +128,12 @@ def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> tupl
     return checked.where(exact).groupBy("h1", "h2").agg(F.min("other").alias("first")), [own, emitted]
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The documents with the lines to drop taken out of ``text_col``, and ``line_dedup``, a
     struct of ``n_lines``, ``n_dropped`` and ``emptied`` (nothing but blanks is left of a text
     that lost lines)."""
     drop = cut(
-        dropped_lines(docs, min_words, fuzzy_words, id_col, text_col)
+        dropped_lines(docs, min_words, fuzzy_words, id_col, text_col, short)
         .groupBy(F.col("doc").alias("line_dedup_doc")).agg(F.collect_set("pos").alias("line_dedup_drop"))
     )
     lines = F.split(text_col, "\n")

@@ -136,6 +136,32 @@ def test_line_dedup_edges(spark, docs):
     assert line_dedup(docs).count() == docs.count() and line_dedup(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_short_lines(spark):
+    """Equal lines of a few words, of one long word and of none, in and across documents."""
+    import corpus_pipeline
+
+    url = "https://example.org/" + "x" * 80
+    rows = [
+        (1, f"First here\n\nAll rights reserved.\n{url}\n\n\r\n日本語の文章です。"),
+        (2, f"\n\r\nSecond here\n  all rights RESERVED. \n\nThird\nthird\n{url}"), (3, "日本語の文章です。\n\nown"),
+        (4, f"All rights reserved.\n{url}"), (None, "First here"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    seen, expected = set(), {None: rows[-1][1]}
+    for i, text in rows[:-1]:
+        kept = []
+        for line in text.split("\n"):
+            key = line.strip(" ").lower()
+            if not key.strip() or key not in seen:
+                kept.append(line)
+            seen.add(key)
+        if "".join(kept).strip():
+            expected[i] = "\n".join(kept)
+    assert expected[2] == "\n\r\nSecond here\n\nThird" and expected[3] == "\nown" and 4 not in expected
+    found = corpus_pipeline.drop_lines(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in found} == expected and all(r.n_chars == len(r.text) for r in found)
+
+
 def test_decontaminate_edges(spark, docs):
     long = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(1, long), (2, "tiny item"), (3, None), (4, "..."), (None, long), (1, "more words")], "item_id bigint, text string")
