@@ -3,8 +3,8 @@
 Sequential weighted transducers read a clause's words as symbols: insults (with a weight that is
 learned), threats, targets, negations and reporting words. The grammar is their composition:
 each rewrites the symbols that it is about (an insult or threat near a target counts more, a
-negated one less, reported ones less) and passes the others on. A clause scores what its path
-weighs; clauses, not isolated words, make a document's features, and a logistic function turns
+negated one less, reported ones less) and passes the others on. The first reads from the clause's
+end and marks insults and threats before a target. A clause scores what its path weighs; clauses, not isolated words, make a document's features, and a logistic function turns
 those into a score.
 
 Labels are learned from a bounded sample of labelled rows (``SAMPLE``, the least by hash of the
@@ -46,7 +46,9 @@ NEGATIONS = "not no never neither nor without isn aren wasn weren don doesn didn
 REPORTS = "said says say called calls quoted quote wrote writes claimed claims alleged according reported asked told word term phrase".split()
 
 CLAUSE = re.compile(rb"[.!?;:\n]+")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DONE = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DONE, INSULT_AT, THREAT_AT = range(9)
+#: Insults and threats, with a target soon after them (``_AT``) or not.
+WEIGHED = (INSULT, THREAT, INSULT_AT, THREAT_AT)
 
 
 @dataclass(frozen=True)
@@ -66,12 +68,17 @@ class Transducer:
         return to, out, weight * factor, gain * weight * factor
 
 
-def compose(*parts: Transducer):
-    """The cascade of transducers as one function over a clause's (symbol, weight) tokens."""
+def compose(backward: Transducer, *parts: Transducer):
+    """The cascade of transducers as one function over a clause's (symbol, weight) tokens;
+    ``backward`` reads them from the end before the others."""
 
     def run(tokens: list[tuple[int, float]]) -> float:
+        state, read = 0, []
+        for symbol, weight in reversed(tokens):
+            state, symbol, weight, _ = backward.step(state, symbol, weight)
+            read.append((symbol, weight))
         states, total = [0] * len(parts), 0.0
-        for symbol, weight in tokens:
+        for symbol, weight in reversed(read):
             for k, part in enumerate(parts):
                 states[k], symbol, weight, gain = part.step(states[k], symbol, weight)
                 total += gain
@@ -88,16 +95,25 @@ def window(opener: int, touched: tuple[int, ...], factor: float, length: int) ->
     return Transducer(arcs, {s: s - 1 for s in range(1, length + 1)})
 
 
-NEGATED = window(NEGATION, (INSULT, THREAT), 0.4, 3)
-REPORTED = window(REPORT, (INSULT, THREAT), 0.5, 8)
-AIMED = window(TARGET, (INSULT, THREAT), 1.5, 5)
+#: From the clause's end: a target follows within four tokens.
+AHEAD = Transducer(
+    {(s, TARGET): (4, TARGET, 1.0, 0.0) for s in range(5)}
+    | {(s, x): (s - 1, at, 1.0, 0.0) for s in range(1, 5) for x, at in ((INSULT, INSULT_AT), (THREAT, THREAT_AT))},
+    {s: s - 1 for s in range(1, 5)},
+)
+NEGATED = window(NEGATION, WEIGHED, 0.4, 3)
+REPORTED = window(REPORT, WEIGHED, 0.5, 8)
+#: Once, whether the target stands before, after or on both sides.
+AIMED = window(TARGET, WEIGHED, 1.5, 5)
+AIMED.arcs.update({(0, x): (0, x, 1.5, 0.0) for x in (INSULT_AT, THREAT_AT)})
 #: An insult counts by itself; a threat with a target before or after it.
-SCORED_INSULT = Transducer({(0, INSULT): (0, DONE, 1.0, 1.0)})
+SCORED_INSULT = Transducer({(0, x): (0, DONE, 1.0, 1.0) for x in (INSULT, INSULT_AT)})
 SCORED_THREAT = Transducer(
-    {(s, TARGET): (4, TARGET, 1.0, 0.0) for s in range(5)} | {(s, THREAT): (s - 1, DONE, 1.0, 1.0) for s in range(1, 5)},
+    {(s, TARGET): (4, TARGET, 1.0, 0.0) for s in range(5)} | {(s, THREAT): (s - 1, DONE, 1.0, 1.0) for s in range(1, 5)}
+    | {(s, THREAT_AT): (max(s - 1, 0), DONE, 1.0, 1.0) for s in range(5)},
     {s: s - 1 for s in range(1, 5)},
 )
-GRAMMAR = compose(NEGATED, REPORTED, AIMED, SCORED_INSULT, SCORED_THREAT)
+GRAMMAR = compose(AHEAD, NEGATED, REPORTED, AIMED, SCORED_INSULT, SCORED_THREAT)
 
 
 class Lexicon:

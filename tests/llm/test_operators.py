@@ -22,7 +22,7 @@ from tessera.llm.line_dedup import line_dedup
 from tessera.llm.ngram_join import ngram_jaccard_join, shingles
 from tessera.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from tessera.llm.token_counts import token_counts
-from tessera.llm.toxicity import GRAMMAR, INSULT, NEGATION, REPORT, TARGET, THREAT, toxicity
+from tessera.llm.toxicity import GRAMMAR, INSULT, NEGATION, OTHER, REPORT, TARGET, THREAT, Lexicon, toxicity
 from tessera.llm.url_filter import rules_table, url_filter
 from tests.compare import duck, same
 
@@ -190,6 +190,18 @@ def test_grammar_weighs_clauses():
     assert GRAMMAR([(THREAT, 1.0)]) == 0 < GRAMMAR([(THREAT, 1.0), (TARGET, 1.0)]) + GRAMMAR([(TARGET, 1.0), (THREAT, 1.0)])
 
 
+def test_grammar_takes_targets_on_either_side():
+    target, threat, insult, other = (TARGET, 1.0), (THREAT, 1.0), (INSULT, 2.0), (OTHER, 0.0)
+    before, after = GRAMMAR([target, other, threat]), GRAMMAR([threat, other, target])
+    assert before == after == 1.5 == GRAMMAR([target, threat, target])
+    assert GRAMMAR([threat, other, threat, target]) == 2 * after
+    assert GRAMMAR([threat, other, other, other, other, target]) == 0
+    assert GRAMMAR([insult, target]) == GRAMMAR([target, insult]) == 1.5 * GRAMMAR([insult])
+    assert GRAMMAR([(NEGATION, 1.0), threat, target]) == 0.4 * after and GRAMMAR([(REPORT, 1.0), threat, target]) == 0.5 * after
+    own = Lexicon({})
+    assert own.features("we will kill you")[2] > 0 and own.features("we will kill time") == (0, 0, 0)
+
+
 def test_toxicity(spark, docs):
     clean = [(i, f"the word number {i} is fine here") for i in range(80)]
     bad = [(i, f"the word number {i} you are such an idiot and scum") for i in range(80, 120)]
