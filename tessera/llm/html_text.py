@@ -4,8 +4,9 @@ A page's text is cut into blocks, each under its root-to-leaf path of block elem
 path the length of text, of link text and the punctuation of all its blocks are summed; the
 path's ratios (text and punctuation a block) are smoothed with those of the neighbouring paths in
 page order, fused by their product, and paths over a threshold are content. The smallest element
-that holds most of the content is the article; its blocks are the text, but for those under
-elements that are boilerplate by tag or by a word of their class, id or role.
+that holds most of the content, or the article or main element around it, is the article; its blocks
+are the text, with the blocks on content paths outside it and the headings beside those, but for what
+is under elements that are boilerplate by tag or by a word of their class, id or role.
 
 Null, empty and text-less pages give the empty text. Unclosed and misnested tags are repaired as
 far as blocks need it. Nothing is cut off. Repeated rows give repeated results.
@@ -53,6 +54,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？¿¡]")
 THRESHOLD = 0.1
 #: Share of the content that the article's element must hold.
 MOST = 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
@@ -165,16 +167,28 @@ def main_text(html: str | None) -> str:
         while up:
             held[up] = held.get(up, 0) + len(text)
             up = up.parent
-    article = max((e for e, n in held.items() if n >= MOST * total), key=lambda e: e.order, default=None)
+    def least(share: float) -> Element:
+        found = max((e for e, n in held.items() if n >= share * total), key=lambda e: e.order)
+        up: Element | None = found
+        while up and up.tag not in ("article", "main"):
+            up = up.parent
+        return up or found
+
+    article, whole = least(MOST), least(1)
 
-    def inside(element: Element | None) -> bool:
+    def inside(element: Element | None, outer: Element) -> bool:
         while element:
-            if element is article:
+            if element is outer:
                 return True
             element = element.parent
         return False
 
-    return "\n".join(t for e, t, _ in blocks if not e.out and inside(e))
+    def kept(element: Element) -> bool:
+        if element.out:
+            return False
+        return element.path in paths or inside(element, article) or (element.tag in HEADINGS and inside(element, whole))
+
+    return "\n".join(t for e, t, _ in blocks if kept(e))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

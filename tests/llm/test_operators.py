@@ -178,6 +178,19 @@ def test_html():
     assert main_text(None) == main_text("") == main_text("<p></p>") == ""
 
 
+def test_html_keeps_content_outside_the_largest_part():
+    long = "A long paragraph, with commas, and full stops. It goes on, and on. " * 8
+    own = " ".join(long.split())
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>The lead.</p><div><p>{long}</p><p>{long}</p></div></article><footer>c</footer></body>"
+    assert main_text(page) == f"T\nThe lead.\n{own}\n{own}"
+    page = f"<body><section><h2>One</h2><p>{long * 6}</p></section><section><h2>Two</h2><p>{long}</p></section><aside><p>{long}</p></aside></body>"
+    assert main_text(page) == "One\n" + " ".join((long * 6).split()) + f"\nTwo\n{own}"
+    page = f"<article><h1>Title</h1><p>Before, it says.</p><ul>{'<li>' + long}{'<li>' + long}</ul><p>After, it ends.</p></article>"
+    assert main_text(page) == f"Title\nBefore, it says.\n{own}\n{own}\nAfter, it ends."
+    page = f"<article><p>{long}</p><table><tr><td>{long * 9}<td>Small, but content. {long}</table></article>"
+    assert main_text(page).startswith(own + "\n")
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<article><p>Hello, you.</p></article>")], "page_id bigint, url string, html string")
     assert sorted((r.text, r.n_chars) for r in extract_text(pages).collect()) == [("", 0), ("Hello, you.", 11)]
