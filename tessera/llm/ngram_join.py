@@ -15,6 +15,7 @@ compared with the pivot's other members: where few are apart, pair by pair withi
 triangle inequality; where many are, by a prefix join on their differences from the pivot. Two sets
 that are linked while one lies beyond the threshold from the pivot must share a part of these
 differences that their sizes give exactly. No pair that could connect two components is skipped.
+What is found spans the components: not every link, nor how many links a text has.
 
 Class identifiers and shingles are 64-bit hashes; a collision could move a similarity by one
 shingle. Null, empty and blank texts have the empty set and link with nothing; texts of fewer
@@ -244,7 +245,8 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links ``u``, ``v`` between classes that connect all that are similar, each verified."""
+    """Links ``u``, ``v`` between classes that connect all that are similar, each verified: a
+    spanning set, not all pairs within a component."""
     classes = cut(
         info.where("class IS NOT NULL").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("below").alias("below"))
     )
