@@ -21,13 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import in_chunks, map_batches, texts
+from tessera.llm.common import map_batches, texts
 from tessera.llm.token_counts import byte_symbols
 
-#: Entries of each of the two generations of a worker's cache of chunks.
-CACHE = 200_000
+#: Bytes of each of the two generations of a worker's cache of chunks, and of an entry's objects.
+CACHE, ENTRY = 24 << 20, 350
 #: Bytes of text whose new words are merged together.
-BATCH = 8 << 20
+BATCH = 4 << 20
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -61,6 +61,7 @@ class BatchCodec:
         #: chunk without white space -> (its identifiers' bytes, its decoded bytes)
         self.known: dict[str | int, tuple[bytes, bytes]] = {}
         self.old: dict[str | int, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The identifiers of all words in one array, and where each word's end."""
@@ -144,9 +145,9 @@ class BatchCodec:
                 elif piece:
                     chunks += self.normal(piece)
             split.append(chunks)
-        if len(self.known) > CACHE:
-            self.old, self.known = self.known, {}
-        fresh = []
+        if self.held > CACHE:
+            self.old, self.known, self.held = self.known, {}, 0
+        fresh, before = [], len(self.known)
         for chunk in {c for chunks in split for c in chunks}.difference(self.known):
             if chunk in self.old:
                 self.known[chunk] = self.old[chunk]
@@ -154,7 +155,9 @@ class BatchCodec:
                 self.known[chunk] = (np.array([chunk], "<u4").tobytes(), self.tokens[chunk])
             else:
                 fresh.append(chunk)
-        self.known |= self.learn(fresh)
+        learned = self.learn(fresh)
+        self.known |= learned
+        self.held += ENTRY * (len(self.known) - before) + sum(len(k) + len(i) + len(t) for k, (i, t) in learned.items())
         out = []
         for chunks in split:
             found = list(map(self.known.__getitem__, chunks))
@@ -175,13 +178,11 @@ def _coded(docs: DataFrame, vocabulary: str, columns, schema: str, id_col: str,
     names = [field.split()[0] for field in schema.split(", ")]
 
     def rows(batch: pa.RecordBatch) -> dict:
-        own, coded = codec(vocabulary), []
-        for part in in_chunks(batch, text_col, BATCH):
-            coded += columns(own.encode_batch(texts(part.column(1))))
+        coded = columns(codec(vocabulary).encode_batch(texts(batch.column(1))))
         return {id_col: batch.column(0)} | {k: [c[k] for c in coded] for k in names}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), rows, f"{id_col} {kind}, {schema}")
+    return map_batches(docs.select(id_col, text_col), rows, f"{id_col} {kind}, {schema}", BATCH)
 
 
 def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
@@ -26,12 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``, which all executors share.
 
     The setting is read from the session; a folder of our own is taken only where it is
-    unset (tests on one machine). The folder is removed when the driver ends.
+    unset and all runs in one process (``local``, as in tests): on a cluster that is an error.
+    The folder is removed when the driver ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        base = base or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = base or tempfile.mkdtemp(prefix="tessera-")
         _FOLDERS[app] = f"{base}/tessera-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _FOLDERS[app])
     return _FOLDERS[app]
@@ -51,17 +56,33 @@ def cut(df: DataFrame) -> DataFrame:
     the write go with its end, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out
 
 
+_LOCK, _DEPTH, _BEFORE = threading.Lock(), [0], [""]
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Sets the clean-up while any thread writes; the last of them sets back what was there."""
+    with _LOCK:
+        if not _DEPTH[0]:
+            _BEFORE[0] = spark.conf.get(_CLEANUP)
+            spark.conf.set(_CLEANUP, "true")
+        _DEPTH[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _DEPTH[0] -= 1
+            if not _DEPTH[0]:
+                spark.conf.set(_CLEANUP, _BEFORE[0])
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes tables that ``cut`` wrote, once all that derives from them is written itself."""
     for df in tables:
@@ -84,18 +105,27 @@ def joined(left: DataFrame, right: DataFrame, on, how: str, limit_bytes: int = 8
     return left.join(F.broadcast(right) if small(right, limit_bytes) else right, on, how)
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from a batch to columns by name."""
+def map_batches(
+    df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, limit_bytes: int = 8 << 20, at_end: Callable[[], None] | None = None
+) -> DataFrame:
+    """``mapInArrow`` with a function from a batch to columns by name. A batch comes in slices of
+    about ``limit_bytes``, one row at least; ``at_end`` runs when a task ends."""
     from pyspark.sql.types import StructType
 
     arrow = _arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = rows(batch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
-            )
+        try:
+            for batch in batches:
+                # a slice at a time: an Arrow batch of very long texts may be large
+                for part in in_chunks(batch, limit_bytes):
+                    columns = rows(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
+                    )
+        finally:
+            if at_end:
+                at_end()
 
     return df.mapInArrow(run, schema)
 
@@ -111,13 +141,23 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def in_chunks(batch: pa.RecordBatch, column: str, limit_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold about ``limit_bytes`` at most (one row at least)."""
+def in_chunks(batch: pa.RecordBatch, limit_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose strings and binaries hold about ``limit_bytes`` at most (one row at
+    least)."""
+    import numpy as np
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    if batch.nbytes <= limit_bytes:
+        yield batch
+        return
+    sizes = np.full(batch.num_rows, 16)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            sizes += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(sizes.tolist()):
         if total + n > limit_bytes and i > start:
             yield batch.slice(start, i - start)
             start, total = i, 0
@@ -127,19 +167,33 @@ def in_chunks(batch: pa.RecordBatch, column: str, limit_bytes: int) -> Iterator[
 
 
 class Recent(dict):
-    """A cache of bounded size: ``make(key)`` fills what is missing. When ``limit`` entries are
-    there, they become the old generation, from which entries in use are taken over again."""
+    """A cache bounded in bytes: ``make(key)`` fills what is missing. When entries of about
+    ``limit_bytes`` are there, they become the old generation, from which entries in use are taken
+    over again; both together hold twice the limit at most, but for an entry being added. ``cost``
+    gives a value's bytes; keys of over 256 bytes are not kept."""
 
-    def __init__(self, make: Callable, limit: int):
+    #: What a dict's slot and the objects' headers take, about.
+    ENTRY = 180
+
+    def __init__(self, make: Callable, limit_bytes: int, cost: Callable = lambda value: 0):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.cost, self.held, self.old = make, limit_bytes, cost, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
+        if len(key) > 256:
+            return value
+        if self.held >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += self.ENTRY + len(key) + self.cost(value)
         self[key] = value
         return value
+
+    def drop(self) -> None:
+        """Empties it: a worker that waits for its next task should hold nothing."""
+        self.clear()
+        self.old, self.held = {}, 0

@@ -1,231 +1,308 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
-Vectors are scaled to length one and turned onto the principal axes of the whole table, so that
-the leading dimensions hold most of each. A tree over those, fitted on a bounded sample, cuts
-space into leaves; a leaf's vectors are dealt into tiles of bounded size. Tiles whose leaves lie
-further apart than the threshold allows are never compared. Within a pair of tiles, products are
-summed over the leading dimensions first; the rest of a product is bounded by the norms of the
-suffixes, and the sum stops where no pair can reach the threshold.
+Vectors are turned onto the principal axes of all vectors, so that the leading dimensions hold most
+of each, and dealt into blocks by their first coordinate. Pairs of blocks whose first coordinates
+lie further apart than the threshold allows are never formed. A pair of blocks is compared tile by
+tile: products are summed over the leading dimensions first, the rest of a product is bounded by
+the norms of the suffixes (the norm is one more dimension of the leading product, so that one
+multiplication gives the bound), and what cannot reach the threshold stops there. The others go on
+over twice the dimensions, then over all. Pairs within 1e-9 of the threshold are decided by the
+cosine of the vectors as given.
+
+The number of block pairs grows with the square of the vectors; a vector is sent to as many tasks as
+there are blocks near its own. A block holds ``BLOCK_BYTES`` at most, and there are enough of them
+for the cluster's cores.
 
 Equal vectors form one class, counted with its members, so that a third of all rows being copies
-costs one vector. A pair of tiles returns the number of links of each of its vectors and a
+costs one vector. A pair of blocks returns the number of links of each of its vectors and a
 spanning forest of the links, never the pairs themselves.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing, as do those
-of another dimension than most. Rows that share a vec_id are counted as vectors of their own.
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing.
+Vectors of different lengths are compared among their own. Rows that share an id are counted as
+vectors of their own; a null id is a vector like others. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.llm.common import cut, discard, joined, map_batches
+from tessera.llm.common import _arrow_schema, cut, discard, joined, map_batches
 from tessera.llm.components import components
 
 THRESHOLD = 0.95
-#: Rows on which the tree is fitted; leaves at most; vectors a tile; leading axes of the boxes.
-SAMPLE, LEAVES, TILE, AXES = 20_000, 4096, 512, 8
+#: Bytes of a block's vectors at most, vectors of a tile, vectors below which a length is one block.
+BLOCK_BYTES, TILE, ALONE = 8 << 20, 512, 2048
+#: Lengths that get axes of their own (those of most vectors, up to that length); others keep their
+#: order of dimensions, which costs time only.
+AXES, WIDEST = 8, 1024
+#: Share of a vector's square that the leading dimensions leave to the suffix.
+SUFFIX = 0.7
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec``, ``unit`` (doubles as bytes, null if it links with nothing) and ``class``."""
+def _vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``vec``, ``raw`` (doubles as bytes, scaled by a power of two; null if it links with nothing)
+    and its digest ``h1``, ``h2``."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        units, classes = [], []
-        for vector in batch.column(1).to_pylist():
-            ok = bool(vector) and all(x is not None for x in vector)
-            x = np.array(vector, np.float64) if ok else np.zeros(1)
-            x = x / m if (m := np.abs(x).max()) > 0 and np.isfinite(m) else x * 0
-            length = np.sqrt(x @ x)
-            if length > 0:
-                # the same to 1e-13 counts as the same vector
-                unit = np.round(x / length, 13) + 0.0
-                units.append(unit.tobytes())
-                classes.append(np.uint64(xxhash.xxh3_64_intdigest(units[-1])).astype(np.int64).item())
+        column = batch.column(1)
+        flat = pc.cast(column.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # null: NaN
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+        raw, keys = [], []
+        for start, end in zip([0, *ends], ends, strict=False):
+            x = flat[start:end]
+            most = np.abs(x).max() if end > start else 0.0
+            if 0 < most < math.inf:  # not so for NaN
+                x = np.ldexp(x, -math.frexp(most)[1]) + 0.0
+                raw.append(x.tobytes())
+                keys.append(xxhash.xxh3_128_digest(raw[-1]))
             else:
-                units.append(None)
-                classes.append(None)
-        return {"vec": batch.column(0), "unit": units, "class": classes}
-
-    return map_batches(vectors.select(id_col, vector_col), rows, "vec bigint, unit binary, class bigint")
-
-
-def principal_axes(units: DataFrame, width: int) -> np.ndarray:
-    """Eigenvectors of the second moments over all vectors, those of most weight first."""
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        x = np.array([np.frombuffer(u) for u in batch.column(0).to_pylist()]).reshape(-1, width)
-        return {"i": np.repeat(np.arange(width), width), "j": np.tile(np.arange(width), width), "s": (x.T @ x).ravel()}
-
-    sums = map_batches(units.select("unit"), rows, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    moments = np.zeros((width, width))
-    for i, j, s in sums.collect():  # width x width rows
-        moments[i, j] = s
-    values, axes = np.linalg.eigh((moments + moments.T) / 2)
-    return axes[:, np.argsort(-values)]
-
-
-class Tree:
-    """Cuts at medians of the widest leading axis. Leaves are numbered; boxes hold all space."""
-
-    def __init__(self, sample: np.ndarray, leaves: int, smallest: int = 32):
-        axes = sample.shape[1]
-        self.axis, self.at, self.child, boxes = [], [], [], []
-        stack = [(np.arange(len(sample)), np.full(axes, -np.inf), np.full(axes, np.inf), None, 1)]
-        while stack:
-            rows, low, high, parent, width = stack.pop()
-            node = len(self.axis)
-            if parent is not None:
-                self.child[parent[0]][parent[1]] = node
-            spread = np.ptp(sample[rows], axis=0) if len(rows) else np.zeros(axes)
-            best = int(np.argmax(spread))
-            at = float(np.median(sample[rows, best])) if len(rows) else 0.0
-            left = sample[rows, best] < at if len(rows) else np.zeros(0, bool)
-            self.child.append([0, 0])
-            if width * 2 > leaves or len(rows) < 2 * smallest or not left.any():
-                self.axis.append(-1)
-                self.at.append(float(len(boxes)))
-                boxes.append((low, high))
+                raw.append(None)
+                keys.append(None)
+        half = lambda k, at: None if k is None else int.from_bytes(k[at : at + 8], "little", signed=True)
+        return {"vec": batch.column(0), "raw": raw, "h1": [half(k, 0) for k in keys], "h2": [half(k, 8) for k in keys]}
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return map_batches(vectors.select(id_col, vector_col), rows, f"vec {kind}, raw binary, h1 bigint, h2 bigint")
+
+
+def _matrix(raw: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw)).reshape(-1, width)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _by_width(raw: list[bytes]) -> dict[int, list[int]]:
+    places: dict[int, list[int]] = {}
+    for i, r in enumerate(raw):
+        places.setdefault(len(r) // 8, []).append(i)
+    return places
+
+
+def principal_axes(kinds: DataFrame, widths: list[int]) -> dict[int, np.ndarray]:
+    """For each of the lengths: eigenvectors of the second moments over all its vectors, those of
+    most weight first."""
+    arrow = _arrow_schema(StructType.fromDDL("width int, i int, j int, s double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            for width, at in _by_width(raw).items():
+                x = _units(_matrix([raw[i] for i in at], width))
+                sums[width] = sums.get(width, 0) + x.T @ x
+        for w, s in sums.items():
+            columns = [np.full(w * w, w), np.repeat(np.arange(w), w), np.tile(np.arange(w), w)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(s.ravel())], schema=arrow)
+
+    chosen = kinds.where((F.length("raw") / 8).isin(widths)).select("raw")
+    sums = chosen.mapInArrow(run, "width int, i int, j int, s double").groupBy("width", "i", "j").agg(F.sum("s").alias("s"))
+    moments = {w: np.zeros((w, w)) for w in widths}
+    found = sums.toPandas()  # AXES x WIDEST x WIDEST rows at most
+    for w, own in found.groupby("width"):
+        moments[w][own["i"], own["j"]] = own["s"]
+    axes = {}
+    for w, m in moments.items():
+        values, vectors = np.linalg.eigh((m + m.T) / 2)
+        axes[w] = np.ascontiguousarray(vectors[:, np.argsort(-values)])
+    return axes
+
+
+class Side:
+    """A block's vectors in order of the first coordinate: turned, their suffix norms, and as given."""
+
+    def __init__(self, raw: np.ndarray, axes: np.ndarray | None):
+        turned = _units(raw) @ axes if axes is not None else _units(raw)
+        self.order = np.argsort(turned[:, 0], kind="stable")
+        self.raw, self.x = raw[self.order], turned[self.order]
+        self.suffix = np.sqrt(np.maximum(0, np.cumsum((self.x**2)[:, ::-1], axis=1)[:, ::-1]))
+
+    def lead(self) -> int:
+        """The leading dimensions that leave ``SUFFIX`` of the squares to the rest on average."""
+        left = (self.suffix**2).mean(0)
+        return int(np.argmax(left <= SUFFIX)) if (left <= SUFFIX).any() else self.x.shape[1]
+
+    def leading(self, n: int) -> np.ndarray:
+        rest = self.suffix[:, n : n + 1] if n < self.x.shape[1] else np.zeros((len(self.x), 1))
+        return np.concatenate([self.x[:, :n], rest], axis=1).astype(np.float32)
+
+
+def _exact(a: Side, b: Side, i: np.ndarray, j: np.ndarray, products: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs are linked; those near the threshold by the cosine of the vectors as given."""
+    out = products >= threshold
+    near = np.flatnonzero(np.abs(products - threshold) < 1e-9)
+    if len(near):
+        x, y = a.raw[i[near]], b.raw[j[near]]
+        dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+        out[near] = dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y))) >= threshold
+    return out
+
+
+def tiles_linked(a: Side, b: Side, threshold: float, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of each pair of tiles, as places (i, j) in the two sides; for one side with
+    itself (``same``) each pair once."""
+    n = min(a.lead(), b.lead())
+    lead_a = a.leading(n)
+    lead_b = lead_a if same else b.leading(n)
+    radius, width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9, a.x.shape[1]
+    twice = min(width, 2 * n)
+    rest = lambda s, k: s.suffix[k, twice] if twice < width else 0.0
+    for p in range(0, len(a.x), TILE):
+        own = slice(p, min(p + TILE, len(a.x)))
+        for q in range(p if same else 0, len(b.x), TILE):
+            other = slice(q, min(q + TILE, len(b.x)))
+            if b.x[q, 0] - a.x[own.stop - 1, 0] > radius:
+                break  # tiles are in order of the first coordinate
+            if a.x[p, 0] - b.x[other.stop - 1, 0] > radius:
                 continue
-            self.axis.append(best)
-            self.at.append(at)
-            for side, own in ((0, rows[left]), (1, rows[~left])):
-                lo, hi = low.copy(), high.copy()
-                (hi if side == 0 else lo)[best] = at
-                stack.append((own, lo, hi, (node, side), width * 2))
-        self.low, self.high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
-        self.axis, self.child, self.at = np.array(self.axis), np.array(self.child), np.array(self.at)
-
-    def leaf(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
-        while True:
-            inner = np.flatnonzero(self.axis[node] >= 0)
-            if not len(inner):
-                return self.at[node].astype(np.int64)
-            own = node[inner]
-            right = x[inner, self.axis[own]] >= self.at[own]
-            node[inner] = self.child[own, right.astype(int)]
-
-    def neighbours(self, radius: float) -> list[tuple[int, int]]:
-        """Pairs of leaves (a <= b) no further apart than the radius."""
-        out = []
-        for a in range(len(self.low)):
-            gap = np.maximum(0, np.maximum(self.low[a] - self.high[a:], self.low[a:] - self.high[a]))
-            out += [(a, a + int(i)) for i in np.flatnonzero((gap**2).sum(1) <= radius**2)]
-        return out
-
-
-def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of rows with a product of the threshold at least. Dimensions are taken in
-    growing blocks; ``suffix`` bounds what the others can add."""
-    width = a.shape[1]
-    suffix = lambda x: np.sqrt(np.maximum(0, np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1]))
-    rest_a, rest_b = suffix(a), suffix(b)
-    rows, columns = np.arange(len(a)), np.arange(len(b))
-    done, sums = 0, np.zeros((len(a), len(b)))
-    for end in [k for k in (4, 8, 16, 32) if k < width] + [width]:
-        sums += a[np.ix_(rows, range(done, end))] @ b[np.ix_(columns, range(done, end))].T
-        done = end
-        if end < width:
-            alive = sums + np.outer(rest_a[rows, end], rest_b[columns, end]) >= threshold - 1e-9
-            some_a, some_b = alive.any(1), alive.any(0)
-            if not some_a.any():
-                return np.empty(0, int), np.empty(0, int)
-            rows, columns, sums = rows[some_a], columns[some_b], sums[np.ix_(some_a, some_b)]
-    i, j = np.nonzero(sums >= threshold - 1e-9)
-    i, j = rows[i], columns[j]
-    exact = np.einsum("ij,ij->i", a[i], b[j]) >= threshold
-    return i[exact], j[exact]
-
-
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links i-j over n nodes, as (node, least node of its tree)."""
-    label = np.arange(n)
+            bound = lead_a[own] @ lead_b[other].T
+            alive = np.flatnonzero(bound.ravel() >= np.float32(threshold - 1e-5))
+            if not len(alive):
+                continue
+            if len(alive) * 30 > bound.size:  # many: all dimensions of the whole tile
+                products = (a.x[own] @ b.x[other].T).ravel()
+                alive = np.flatnonzero(products >= threshold - 1e-9)
+                products = products[alive]
+                i, j = np.divmod(alive, bound.shape[1])
+                i, j = i + p, j + q
+            else:
+                i, j = np.divmod(alive, bound.shape[1])
+                i, j = i + p, j + q
+                partial = np.einsum("ij,ij->i", a.x[i, :twice], b.x[j, :twice])
+                left = partial + rest(a, i) * rest(b, j) >= threshold - 1e-9
+                i, j = i[left], j[left]
+                products = partial[left]
+                if twice < width:
+                    products = products + np.einsum("ij,ij->i", a.x[i, twice:], b.x[j, twice:])
+                kept = products >= threshold - 1e-9
+                i, j, products = i[kept], j[kept], products[kept]
+            if same and p == q:
+                once = i < j
+                i, j, products = i[once], j[once], products[once]
+            linked = _exact(a, b, i, j, products, threshold)
+            if linked.any():
+                yield i[linked], j[linked]
+
+
+def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links i-j: (node, least node of its tree) of all but the least."""
+    nodes, places = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = places[: len(i)], places[len(i) :]
+    label = np.arange(len(nodes))
     while True:
         new = label.copy()
         np.minimum.at(new, i, label[j])
         np.minimum.at(new, j, label[i])
+        np.minimum.at(new, label, new)
         new = new[new]
         if (new == label).all():
             break
         label = new
-    return [(int(x), int(label[x])) for x in np.flatnonzero(label != np.arange(n))]
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[away], nodes[label[away]]
+
+
+def compare_blocks(table: pa.Table, axes: dict[int, np.ndarray], threshold: float) -> dict[str, np.ndarray]:
+    """Of one pair of blocks (columns ``side``, ``id``, ``copies``, ``raw``; one side if it is a
+    block with itself): ``u`` and its number of ``links``, and ``u``, ``v`` of a spanning forest."""
+    first = table.column("side").to_numpy() == 0
+    raw = table.column("raw").to_pylist()
+    width = len(raw[0]) // 8
+    ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+    at = [np.flatnonzero(first), np.flatnonzero(~first)]
+    same = not len(at[0]) or not len(at[1])
+    sides = [Side(_matrix([raw[k] for k in places], width), axes.get(width)) for places in at if len(places)]
+    places = [p[s.order] for p, s in zip([p for p in at if len(p)], sides, strict=True)]
+    mine, other = places[0], places[-1]
+    links, u, v = np.zeros(len(ids), np.int64), [], []
+    for i, j in tiles_linked(sides[0], sides[-1], threshold, same):
+        i, j = mine[i], other[j]
+        links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+        ends = forest(i, j)
+        u.append(ends[0]), v.append(ends[1])
+    if u:
+        u, v = forest(np.concatenate(u), np.concatenate(v))
+    counted = np.flatnonzero(links)
+    none = np.zeros(0, np.int64)
+    return {
+        "u": np.concatenate([ids[counted], ids[u] if len(u) else none]), "v": np.concatenate([np.full(len(counted), -1), ids[v] if len(v) else none]),
+        "links": np.concatenate([links[counted], np.zeros(len(u), np.int64)]),
+    }
+
+
+def _blocks(placed: DataFrame, threshold: float, cores: int) -> tuple[DataFrame, DataFrame]:
+    """``id`` with its ``block``, and for each block the pairs (``block_x``, ``block_y``)
+    that it is in, and its ``side``."""
+    total = placed.agg(F.sum(F.col("width").cast("bigint"))).first()[0] or 0
+    wanted = max(1, math.ceil(math.sqrt(6 * cores)), math.ceil(8 * total / BLOCK_BYTES))
+    cuts = [k / wanted for k in range(1, wanted)]
+    at = placed.groupBy("width").agg(F.count("*").alias("n"), (F.percentile_approx("a", cuts, 20 * wanted) if cuts else F.array().cast("array<double>")).alias("cuts"))
+    at = cut(at.select("width", F.when(F.col("n") > ALONE, F.col("cuts")).otherwise(F.array().cast("array<double>")).alias("cuts")))
+    ranged = joined(placed, at, "width", "inner").select("id", "width", "a", F.size(F.filter("cuts", lambda c: c < F.col("a"))).alias("range"))
+    sizes = cut(ranged.groupBy("width", "range").agg(F.count("*").alias("n"), F.min("a").alias("low"), F.max("a").alias("high")))
+    parts = F.ceil(F.col("n") * F.col("width") * 8 / BLOCK_BYTES).cast("int")
+    own = cut(sizes.select("width", "range", "low", "high", parts.alias("parts")))
+    dealt = joined(ranged, own.select("width", "range", "parts"), ["width", "range"], "inner")
+    dealt = dealt.select("id", F.xxhash64("width", "range", F.pmod(F.xxhash64("id"), "parts")).alias("block"))
+    each = own.select("width", "low", "high", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "range")
+    each = cut(each.select("width", "low", "high", F.xxhash64("width", "range", F.col("part").cast("bigint")).alias("block")))
+    x, y = (each.select("width", *(F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "block"))) for s in "xy")
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    near = (F.col("block_x") <= F.col("block_y")) & (F.col("low_x") - F.col("high_y") <= radius) & (F.col("low_y") - F.col("high_x") <= radius)
+    pairs = x.join(y, "width").where(near).select("block_x", "block_y")
+    sides = pairs.select(F.col("block_x").alias("block"), "block_x", "block_y", F.lit(0).alias("side")).unionByName(
+        pairs.where("block_x <> block_y").select(F.col("block_y").alias("block"), "block_x", "block_y", F.lit(1).alias("side"))
+    )
+    return dealt, cut(sides)
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id_col``, ``n_links``, ``component_id`` and ``kept`` of every row. A null vec_id never
-    names a component unless all of its component are null."""
+    """``id_col``, ``n_links``, ``component_id`` and ``kept`` of every row. A null id never names a
+    component unless all of its component are null."""
     spark = vectors.sparkSession
-    found = cut(unit_vectors(vectors, id_col, vector_col))
-    usual = found.where("unit IS NOT NULL").groupBy(F.length("unit").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = usual["w"] // 8 if usual else 1
-    found = found.withColumn("class", F.when(F.length("unit") == width * 8, F.col("class")))
-    kinds = cut(found.where("class IS NOT NULL").groupBy("class").agg(F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec").alias("least")))
-    axes = principal_axes(kinds, width)
-    picked = kinds.orderBy(F.xxhash64("class")).select("unit").limit(SAMPLE).collect()  # the tree's bounded sample
-    lead = min(AXES, width)
-    sample = np.array([np.frombuffer(r.unit) for r in picked]).reshape(-1, width) @ axes[:, :lead]
-    tree = Tree(sample, LEAVES)
-    shared = spark.sparkContext.broadcast((axes, tree))
-
-    def turned(batch: pa.RecordBatch) -> dict:
-        axes, tree = shared.value
-        x = np.array([np.frombuffer(u) for u in batch.column(1).to_pylist()]).reshape(-1, width) @ axes
-        return {"class": batch.column(0), "x": [row.tobytes() for row in x], "copies": batch.column(2), "leaf": tree.leaf(x[:, : axes.shape[1]][:, :lead])}
-
-    placed = cut(map_batches(kinds.select("class", "unit", "copies"), turned, "class bigint, x binary, copies bigint, leaf int"))
-    sizes = cut(placed.groupBy("leaf").agg(F.ceil(F.count("*") / TILE).alias("tiles")))
-    dealt = placed.join(F.broadcast(sizes), "leaf").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))  # LEAVES rows
-    tiles = cut(dealt.groupBy("leaf", "tile").agg(F.collect_list(F.struct("class", "copies", "x")).alias("rows")))
-    discard(placed, sizes)
-    near = spark.createDataFrame(tree.neighbours(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9) or [(-1, -1)], "leaf_a int, leaf_b int")
-    one, two = (tiles.select(F.col("leaf").alias(f"leaf_{s}"), F.col("tile").alias(f"tile_{s}"), F.col("rows").alias(f"rows_{s}")) for s in "ab")
-    pairs = one.join(near, "leaf_a").join(two, "leaf_b").where("leaf_a < leaf_b OR tile_a <= tile_b")
-    pairs = pairs.select((F.expr("leaf_a = leaf_b AND tile_a = tile_b")).alias("same"), "rows_a", "rows_b")
-
-    def compared(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"u": [], "v": [], "links": []}
-
-        def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            table = pa.RecordBatch.from_struct_array(column)
-            x = np.array([np.frombuffer(r) for r in table.column("x").to_pylist()]).reshape(-1, width)
-            return table.column("class").to_numpy(), table.column("copies").to_numpy(), x
-
-        for k in range(batch.num_rows):
-            same = batch.column(0)[k].as_py()
-            a, b = side(batch.column(1)[k].values), side(batch.column(2)[k].values)
-            i, j = linked(a[2], b[2], threshold)
-            if same:
-                i, j = i[i != j], j[i != j]
-            nodes = np.concatenate([a[0], b[0]])
-            links = np.zeros(len(nodes), np.int64)
-            np.add.at(links, i, b[1][j])
-            if not same:
-                np.add.at(links, len(a[0]) + j, a[1][i])
-            for node in np.flatnonzero(links):
-                out["u"].append(nodes[node]), out["v"].append(None), out["links"].append(links[node])
-            for node, least in forest(i, j + (0 if same else len(a[0])), len(nodes)):
-                out["u"].append(nodes[node]), out["v"].append(nodes[least]), out["links"].append(0)
-        return out
-
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row is a pair of tiles
-    try:
-        results = cut(map_batches(pairs, compared, "u bigint, v bigint, links bigint"))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    discard(tiles)
-    comp = components(results.where("v IS NOT NULL").select("u", "v"))
-    counts = results.groupBy(F.col("u").alias("class")).agg(F.sum("links").alias("links"))
-    known = kinds.select("class", "copies", "least").join(counts, "class", "left").join(comp.withColumnRenamed("node", "class"), "class", "left")
-    known = cut(known.withColumn("comp", F.coalesce("comp", "class")).withColumn("n", F.coalesce("links", F.lit(0)) + F.col("copies") - 1))
+    found = cut(_vectors(vectors, id_col, vector_col))
+    kinds = found.where("raw IS NOT NULL").groupBy("h1", "h2").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"), F.min("vec").alias("least"))
+    kinds = cut(kinds.withColumn("id", F.monotonically_increasing_id()))
+    often = kinds.groupBy((F.length("raw") / 8).cast("int").alias("width")).agg(F.count("*").alias("n")).where(f"width BETWEEN 2 AND {WIDEST}")
+    widths = [r.width for r in often.orderBy(F.desc("n"), "width").limit(AXES).collect()]
+    axes = spark.sparkContext.broadcast(principal_axes(kinds, widths) if widths else {})
+
+    def first_coordinate(batch: pa.RecordBatch) -> dict:
+        raw = batch.column(1).to_pylist()
+        out = np.zeros(len(raw))
+        for width, at in _by_width(raw).items():
+            x = _units(_matrix([raw[i] for i in at], width))
+            out[at] = x @ axes.value[width][:, 0] if width in axes.value else x[:, 0]
+        return {"id": batch.column(0), "width": [len(r) // 8 for r in raw], "a": out}
+
+    placed = cut(map_batches(kinds.select("id", "raw"), first_coordinate, "id bigint, width int, a double"))
+    dealt, sides = _blocks(placed, threshold, spark.sparkContext.defaultParallelism)
+    sent = joined(kinds.select("id", "copies", "raw").join(dealt, "id"), sides, "block", "inner").select("block_x", "block_y", "side", "id", "copies", "raw")
+    schema = _arrow_schema(StructType.fromDDL("u bigint, v bigint, links bigint"))
+
+    def compared(table: pa.Table) -> pa.Table:
+        out = compare_blocks(table, axes.value, threshold)
+        return pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+    results = cut(sent.groupBy("block_x", "block_y").applyInArrow(compared, "u bigint, v bigint, links bigint"))
+    discard(placed, sides)
+    comp = components(results.where("v >= 0").select("u", "v"))
+    counts = results.groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
+    known = kinds.select("id", "h1", "h2", "copies", "least").join(counts, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    known = cut(known.withColumn("comp", F.coalesce("comp", "id")).withColumn("n", F.coalesce("links", F.lit(0)) + F.col("copies") - 1))
     discard(kinds, results)
     least = known.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = cut(known.where("n > 0").join(least, "comp").select("class", "n", "component_id"))
-    out = joined(found.select("vec", "class"), named, "class", "left")
+    named = cut(known.where("n > 0").join(least, "comp").select("h1", "h2", "n", "component_id"))
+    out = joined(found.select("vec", "h1", "h2"), named, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec")
     return out.select(F.col("vec").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec") == component, F.lit(False)).alias("kept"))

@@ -38,6 +38,8 @@ START_TEXTS, START_CHARS, START_ROUNDS, ROUNDS = 400, 20_000, 12, 2
 SEQUENCE = 512
 #: Bytes of text that are trained on at once.
 BATCH = 4 << 20
+#: Bytes of each of the two generations of a worker's cache of word codes.
+CACHE = 24 << 20
 END = b"\n"
 SMOOTH = 0.05
 
@@ -99,14 +101,14 @@ class Vocabulary:
         self.log_counts = np.log10(counts[order] + 1.0)
         #: whether the word's class is its own
         self.single = (self.classes < OWN) | (self.classes == OWN + ENDINGS)
-        self.code = Recent(self.find, 300_000)
+        self.code = Recent(self.find, CACHE)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "code"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.code = Recent(self.find, 300_000)
+        self.code = Recent(self.find, CACHE)
 
     def find(self, word: bytes) -> int:
         """The word's place in the table, or -1 less its ending's class."""
@@ -222,7 +224,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
             vocabulary, model = shared.value
             start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, Vocabulary.CLASSES))
             for batch in batches:
-                for part in in_chunks(batch, "text", BATCH):
+                for part in in_chunks(batch, BATCH):
                     own = expected_counts(model, _sequences(vocabulary, texts(part.column(0))))
                     start, moves, emits = start + own[0], moves + own[1], emits + own[2]
             used = np.flatnonzero(emits.any(0))

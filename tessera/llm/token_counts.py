@@ -24,8 +24,8 @@ from tessera.llm.common import Recent, map_batches, texts
 #: The pattern of byte-level tokenizers that splits text into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS = WORDS.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-#: Entries of each of the two generations of a worker's caches.
-CHUNKS, PIECES = 400_000, 200_000
+#: Bytes of each of the two generations of a worker's caches.
+CHUNKS, PIECES = 40 << 20, 30 << 20
 #: A space that a word does not follow directly.
 LOOSE = re.compile(r" (?=\s|$)")
 

@@ -37,6 +37,8 @@ STEMS = (4, 5, 6, 7)
 #: An entry's least documents and the share of toxic ones among its documents.
 SUPPORT, PRECISION = 3, 0.8
 PREDICT = 0.3
+#: Bytes of each of the two generations of a worker's two caches; emptied when a task ends.
+CACHE = 12 << 20
 
 # The grammar's own words.
 INSULTS = "idiot idiots moron morons stupid scum worthless loser losers trash pathetic disgusting clown clowns imbecile fool dumb garbage filth vermin".split()
@@ -124,8 +126,8 @@ class Lexicon:
         self.own = {w.encode(): (kind, weight) for kind, weight, words in (
             (REPORT, 1.0, REPORTS), (NEGATION, 1.0, NEGATIONS), (TARGET, 1.0, TARGETS), (THREAT, 1.0, THREATS), (INSULT, 3.0, INSULTS),
         ) for w in words}
-        self.of = Recent(self.find, 200_000)
-        self.marked = Recent(lambda w: self.of[w][0] in (INSULT, THREAT), 300_000)
+        self.of = Recent(self.find, CACHE)
+        self.marked = Recent(lambda w: self.of[w][0] in (INSULT, THREAT), CACHE)
 
     def find(self, word: bytes) -> tuple[int, float]:
         best = self.own.get(word)
@@ -232,6 +234,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 _LEXICONS: dict[int, Lexicon] = {}
 
 
+def _at_end() -> None:
+    for lexicon in _LEXICONS.values():
+        lexicon.of.drop(), lexicon.marked.drop()
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = PREDICT) -> DataFrame:
     """``id_col``, ``held_out``, ``score`` and ``predicted`` (score of ``threshold`` or more) of
     every row."""
@@ -251,4 +258,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
-    return map_batches(chosen, rows, f"{id_col} {kind}, held_out boolean, score double, predicted int")
+    return map_batches(chosen, rows, f"{id_col} {kind}, held_out boolean, score double, predicted int", at_end=_at_end)
