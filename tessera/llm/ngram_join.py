@@ -3,64 +3,96 @@
 A document's set holds its distinct five-word shingles as 64-bit hashes; documents with equal
 sets form one class. The order of shingles is by rarity: those below a cut of the hash range by
 their document frequency over the whole corpus, then the others by hash. Two sets of a Jaccard
-similarity of t share a shingle among the first ``n - ceil(t n) + 1`` of each. Classes with an
-equal prefix and size form one group. Groups that share a prefix shingle are paired, the pairs
-are expanded to member classes and verified on their whole sets.
-
-Pairs within the many groups of one shingle are not listed. The most typical group of each shingle
-is its pivot: all others are verified against it, a number of pairs linear in the postings. Members
-linked to it need no pair among each other for the components. Where many are apart from it, the
-member that differs least from all others takes its place. What is still apart from its pivot is
-compared with the pivot's other members: where few are apart, pair by pair within the bounds of the
-triangle inequality; where many are, by a prefix join on their differences from the pivot. Two sets
-that are linked while one lies beyond the threshold from the pivot must share a part of these
-differences that their sizes give exactly. No pair that could connect two components is skipped.
-What is found spans the components: not every link, nor how many links a text has.
+similarity of t share a shingle among the first ``n - ceil(t n) + 1`` of each, their prefixes.
+Classes with an equal prefix and size form one group.
+
+Groups that share a prefix shingle are paired if their sizes and the shingle's places in both
+orders allow a link; of each pair the shared shingles are counted, and those that have too few of
+them, whatever the rest of the sets holds, go. The pairs that are left are expanded to member
+classes and verified on their whole sets.
+
+Shingles in the prefixes of more than ``LISTED`` classes are not paired that way, as pairs would
+grow with the square of the classes. The most typical group of such a shingle is its pivot: all
+others are verified against it, a number of pairs linear in the postings. Members linked to it need
+no pair among each other for the components. Where many are apart from it, the member that differs
+least from all others takes its place. What is still apart from its pivot is compared with the
+pivot's other members: where few are apart, pair by pair within the bounds of the triangle
+inequality; where many are, by a prefix join on their differences from the pivot. Two sets that are
+linked while one lies beyond the threshold from the pivot must share a part of these differences
+that their sizes give exactly. No pair that could connect two components is skipped. What is found
+spans the components: not every link, nor how many links a text has.
 
 Class identifiers and shingles are 64-bit hashes; a collision could move a similarity by one
 shingle. Null, empty and blank texts have the empty set and link with nothing; texts of fewer
-words than ``size`` are one shingle. Rows that share a doc_id keep their own sets and rows.
+words than ``size`` are one shingle. Rows that share an id keep their own sets and rows. Ids may be
+of any type with an order; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Recent, cut, discard, joined, map_batches, texts
+from tessera.llm.common import cut, discard, joined, map_batches
 from tessera.llm.components import components
+from tessera.llm.words import SPACE, key_filter, may_hold, windows, words_of
 
 SIZE, PERCENT = 5, 75
-#: Members apart from a pivot, up to which they are compared pair by pair; beyond, by their differences.
+#: Classes of a shingle up to which they are compared pair by pair, and members apart from a pivot
+#: up to which they are; beyond, around pivots and by differences. Both ways are exact.
 LISTED = 16
-#: Share of the hash range whose shingles are ordered by document frequency. A little more than
-#: the share of a set that its prefix needs, so that a prefix rarely needs shingles beyond.
-CUT_SHARE = 0.28
+#: Share of the hash range whose shingles are ordered by document frequency. More than the share of
+#: a set that its prefix needs, so that a prefix holds the rarer ones of them alone.
+CUT_SHARE = 0.36
 CUT_HASH = int(CUT_SHARE * 2**64) - 2**63
-#: Entries of each generation of a worker's cache of word hashes.
-CACHE = 300_000
-_MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_WORD_HASH = Recent(lambda w: xxhash.xxh3_64_intdigest(w), CACHE)
+
+
+@dataclass
+class Sets:
+    """The sets of a batch of texts: text k has the sorted signed hashes ``flat[first[k]:first[k + 1]]``."""
+
+    flat: np.ndarray
+    first: np.ndarray
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.first[k] : self.first[k + 1]]
+
+
+def sets_of(column: pa.Array, size: int = SIZE) -> Sets:
+    """The texts' shingles. Bytes are lower-cased and split as ASCII, which is what lower-casing
+    A-Z and splitting at ASCII white space means."""
+    words = words_of(column, SPACE)
+    first, last = words.first[:-1], words.first[1:]
+    counts = last - first
+    sizes = np.where(counts == 0, 0, np.maximum(counts - size + 1, 1))
+    ends = np.cumsum(sizes)
+    flat = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    for width in range(1, size + 1):
+        chosen = np.flatnonzero((counts >= size) if width == size else (counts == width))
+        if len(chosen):
+            every = windows(words.hashes, width)
+            for k, at, n, end in zip(chosen.tolist(), first[chosen].tolist(), sizes[chosen].tolist(), ends[chosen].tolist(), strict=True):
+                flat[end - n : end] = every[at : at + n]
+    signed = (flat ^ np.uint64(1 << 63)).view(np.int64)
+    begins = ends - sizes
+    for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+        signed[begin:end].sort()
+    kept = np.ones(len(signed), bool)
+    kept[1:] = signed[1:] != signed[:-1]
+    kept[begins[sizes > 0]] = True
+    total = np.concatenate([[0], np.cumsum(kept)])
+    return Sets(signed[kept], total[np.concatenate([[0], ends])])
 
 
 def shingles(text: str, size: int = SIZE) -> np.ndarray:
-    """The text's set as sorted signed 64-bit hashes. Bytes are lower-cased and split as ASCII,
-    which is what lower-casing A-Z and splitting at ASCII white space means."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    hashes = np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    out = np.full(len(words) - width + 1, np.uint64(width))
-    for i in range(width):
-        out = (out ^ hashes[i : i + len(out)]) * _MULTIPLY
-        out ^= out >> np.uint64(29)
-    out *= _MIX
-    out ^= out >> np.uint64(32)
-    return np.unique((out ^ np.uint64(1 << 63)).view(np.int64))
+    """One text's set as sorted signed 64-bit hashes."""
+    return sets_of(pa.array([text or ""]), size)[0]
 
 
 def needed(n: int, percent: int) -> int:
@@ -77,31 +109,33 @@ def set_info(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     """``doc``, set size ``n``, shingles below the cut ``below`` and ``class`` (null: empty set)."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t, size) for t in texts(batch.column(1))]
-        return {
-            "doc": batch.column(0), "n": [len(s) for s in sets],
-            "below": [int(np.searchsorted(s, CUT_HASH)) for s in sets],
-            "class": [class_of(s) if len(s) else None for s in sets],
-        }
+        sets = sets_of(batch.column(1), size)
+        n = np.diff(sets.first)
+        low = np.concatenate([[0], np.cumsum(sets.flat < CUT_HASH)])[sets.first]
+        return {"doc": batch.column(0), "n": n, "below": np.diff(low), "class": [class_of(sets[k]) if n[k] else None for k in range(len(n))]}
 
-    return map_batches(docs.select(id_col, text_col), rows, "doc bigint, n bigint, below bigint, class bigint")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(docs.select(id_col, text_col), rows, f"doc {kind}, n bigint, below bigint, class bigint")
 
 
-def _postings(docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+def _postings(docs: DataFrame, size: int, percent: int, text_col: str, often: Broadcast | None = None) -> DataFrame:
     """``token`` and ``class``: of each set the shingles below the cut, and as many after it as
-    the prefix still needs. A batch's equal sets are emitted once."""
+    the prefix still needs, of those that the filter ``often`` passes. A slice's equal sets are
+    emitted once."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        tokens, classes, seen = [], [], set()
-        for text in texts(batch.column(0)):
-            own = shingles(text, size)
+        sets, seen = sets_of(batch.column(0), size), set()
+        tokens, classes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in range(batch.num_rows):
+            own = sets[k]
             if len(own) and (key := class_of(own)) not in seen:
                 seen.add(key)
                 take = max(int(np.searchsorted(own, CUT_HASH)), len(own) - needed(len(own), percent) + 1)
                 tokens.append(own[:take])
                 classes.append(np.full(take, key, np.int64))
-        join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
-        return {"token": join(tokens), "class": join(classes)}
+        token, key = np.concatenate(tokens), np.concatenate(classes)
+        passed = may_hold(often.value, token) if often else slice(None)
+        return {"token": token[passed], "class": key[passed]}
 
     return map_batches(docs.select(text_col), rows, "token bigint, class bigint")
 
@@ -111,32 +145,61 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
     chosen = joined(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), wanted, "doc", "inner")
 
     def rows(batch: pa.RecordBatch) -> dict:
-        keys, sets = [], []
-        for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-            own = shingles(text, size)
-            if len(own) and class_of(own) == key:
-                keys.append(key)
-                sets.append(own)
-        return {"class": keys, "set": sets}
+        sets, keys = sets_of(batch.column(1), size), batch.column(0).to_pylist()
+        chosen = [k for k, key in enumerate(keys) if len(sets[k]) and class_of(sets[k]) == key]
+        return {"class": [keys[k] for k in chosen], "set": [sets[k] for k in chosen]}
 
     return map_batches(chosen.select("class", "text"), rows, "class bigint, set array<bigint>").dropDuplicates(["class"])
 
 
+def _shared(docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+    """``token``, ``class`` and ``df`` of the postings whose token has others. A filter of the tokens
+    that occur more than once keeps most others out of the shuffle; the join is exact."""
+    df = _postings(docs, size, percent, text_col).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    df = cut(df)
+    often = key_filter(df, "token")
+    return cut(_postings(docs, size, percent, text_col, docs.sparkSession.sparkContext.broadcast(often)).join(df, "token"))
+
+
 def _prefixes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Each class's prefix shingles that other classes have too, its group, and how frequent its
-    shingles are on average (``typical``): copies with few changes come first."""
+    """Each class's prefix shingles that other classes have too, in order, its group, and how
+    frequent its shingles are on average (``typical``): copies with few changes come first."""
     own = shared.groupBy("class").agg(F.collect_set(F.struct("df", "token")).alias("own"))
     at = own.join(classes, "class").withColumn("k", F.expr(f"n - (n * {percent} + 99) div 100 + 1"))
     low = F.array_sort(F.filter("own", lambda x: x["token"] < CUT_HASH))
-    high = F.filter("own", lambda x: x["token"] >= CUT_HASH)
+    high = F.array_sort(F.filter("own", lambda x: x["token"] >= CUT_HASH)["token"])
     at = at.select("class", "doc", "n", "k", "below", low.alias("low"), high.alias("high"))
     single = F.col("below") - F.size("low")  # shingles of this class alone come first
     room = F.greatest(F.lit(0), F.col("k") - single).cast("int")
-    prefix = F.concat(F.slice("low", F.lit(1), room), F.col("high"))["token"]
+    # of those beyond the cut, the postings hold more than the prefix needs
+    prefix = F.concat(F.slice("low", F.lit(1), room)["token"], F.when(F.col("k") > F.col("below"), F.col("high")).otherwise(F.array().cast("array<bigint>")))
     alone = (single > 0) | (F.col("k") - F.col("below") > F.size("high"))
     typical = F.aggregate("low", F.lit(0.0), lambda total, x: total + F.log2(x["df"])) / F.greatest(F.lit(1), "below")
-    at = at.select("class", "doc", "n", F.array_sort(prefix).alias("prefix"), alone.alias("alone"), typical.alias("typical")).where(F.size("prefix") > 0)
-    return at.withColumn("same", F.when(F.col("alone"), F.xxhash64("class", F.lit(0))).otherwise(F.xxhash64("n", "prefix", F.lit(1))))
+    at = at.select("class", "doc", "n", "below", single.alias("single"), prefix.alias("prefix"), alone.alias("alone"), typical.alias("typical"))
+    at = at.where(F.size("prefix") > 0)
+    return at.withColumn("same", F.when(F.col("alone"), F.xxhash64("class", F.lit(0))).otherwise(F.xxhash64("n", "prefix", F.lit(1)))).drop("alone")
+
+
+def _needed_together(percent: int) -> Column:
+    """The shingles that groups ``a`` and ``b`` must share for a link."""
+    return F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+
+
+def _listed_pairs(posted: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of classes that may be linked, from the shingles of few classes
+    (``posted``: ``group``, ``n``, its place ``at`` of the ``token``, from 1 (null beyond the cut),
+    and ``many``, the shingles of its prefix that are not among these)."""
+    side = lambda x: posted.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("group", "n", "at", "many")))
+    n_a, n_b, needed_both = F.col("n_a"), F.col("n_b"), _needed_together(percent)
+    fits = (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.col("group_a") < F.col("group_b"))
+    room = F.least("at_a", "at_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
+    met = side("a").join(side("b"), "token").where(fits & F.coalesce(room >= needed_both, F.lit(True)))
+    met = met.groupBy("group_a", "group_b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "many_a", "many_b")))
+    after = lambda n: F.expr(f"({n} * {percent} + 99) div 100 - 1")  # what follows the prefix
+    most = F.col("shared") + F.least("many_a", "many_b") + F.greatest(after("n_a"), after("n_b"))
+    met = met.where(most >= needed_both).select("group_a", "group_b")
+    expand = lambda x: member.select(F.col("group").alias(f"group_{x}"), F.col("class").alias(x))
+    return met.join(expand("a"), "group_a").join(expand("b"), "group_b").select("a", "b")
 
 
 def _linked(n: Column, d: Column, percent: int) -> Column:
@@ -154,11 +217,11 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``, their sizes, the elements ``d`` in one of them only, and ``link`` of each pair,
-    on whole sets."""
+    """``a``, ``b``, ``star``, their sizes, the elements ``d`` in one of them only, and ``link`` of
+    each pair, on whole sets."""
     met = _with_sets(pairs, sets)
     size = lambda c: F.size(c).cast("bigint")
-    met = met.select("a", "b", size("set_a").alias("n_a"), size("set_b").alias("n_b"), size(F.array_intersect("set_a", "set_b")).alias("both"))
+    met = met.select("a", "b", "star", size("set_a").alias("n_a"), size("set_b").alias("n_b"), size(F.array_intersect("set_a", "set_b")).alias("both"))
     met = met.withColumn("d", F.col("n_a") + F.col("n_b") - 2 * F.col("both")).drop("both")
     return cut(met.withColumn("link", _linked(F.col("n_a") + F.col("n_b"), F.col("d"), percent)))
 
@@ -250,20 +313,29 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     classes = cut(
         info.where("class IS NOT NULL").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("below").alias("below"))
     )
-    counted = _postings(docs, size, percent, text_col).selectExpr("token", "class", "count(*) OVER (PARTITION BY token) AS df")
-    shared = cut(counted.where("df > 1"))
+    shared = _shared(docs, size, percent, text_col)
     grouped = cut(_prefixes(shared, classes, percent))
     discard(shared)
-    member = cut(
-        grouped.join(grouped.groupBy("same").agg(F.max(F.struct("typical", "class"))["class"].alias("group")), "same").select("class", "group", "prefix", "typical")
-    )
-    posted = cut(member.where("class = group").select("group", "typical", F.explode("prefix").alias("token")))
-    pivots = posted.groupBy("token").agg(F.max(F.struct("typical", "group"))["group"].alias("pivot"), F.count("*").alias("groups")).where("groups > 1")
-    group_pairs = posted.join(pivots, "token").where("group <> pivot").select(F.col("pivot").alias("a"), "group").distinct()
+    of_group = grouped.groupBy("same").agg(F.max(F.struct("typical", "class"))["class"].alias("group"), F.count("*").alias("members"))
+    member = cut(grouped.join(of_group, "same").select("class", "group", "members", "n", "below", "single", "prefix", "typical"))
+    posted = member.where("class = group").select("group", "members", "n", "below", "typical", "single", F.posexplode("prefix").alias("at", "token"))
+    posted = posted.withColumn("at", F.when(F.col("token") < CUT_HASH, F.col("at") + 1 + F.col("single"))).drop("single", "below")
+    lists = posted.groupBy("token").agg(F.max(F.struct("typical", "group"))["group"].alias("pivot"), F.sum("members").alias("classes")).where("classes > 1")
+    posted = cut(posted.drop("typical").join(lists, "token").withColumn("long", F.col("classes") > LISTED))
+    many = cut(posted.groupBy("group").agg(F.count_if("long").alias("many"), F.first("members").alias("members")))
+    # of shingles of many classes: all that have one against its pivot
+    group_pairs = posted.where("long AND group <> pivot").select(F.col("pivot").alias("a"), "group").distinct()
     expanded = group_pairs.join(member.select("group", F.col("class").alias("b")), "group").select("a", "b")
-    inside = member.where("class <> group").select(F.col("group").alias("a"), F.col("class").alias("b"))
-    pairs = cut(expanded.unionByName(inside).distinct())
-    discard(grouped, member, posted)
+    several = many.where("members > 1").select("group", "many")
+    own = member.where("members > 1").join(several, "group")
+    inside = own.where("many > 0 AND class <> group").select(F.col("group").alias("a"), F.col("class").alias("b"))
+    # of shingles of few: pairs of groups, and of a group's members
+    listed = _listed_pairs(posted.where("NOT long").join(many.select("group", "many"), "group"), member.select("group", "class"), percent)
+    few = own.where("many = 0")
+    within = few.select("group", F.col("class").alias("a")).join(few.select("group", F.col("class").alias("b")), "group").where("a < b").select("a", "b")
+    stars = expanded.unionByName(inside).withColumn("star", F.lit(True))
+    pairs = cut(stars.unionByName(listed.unionByName(within).withColumn("star", F.lit(False))).groupBy("a", "b").agg(F.max("star").alias("star")))
+    discard(grouped, member, posted, many)
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = cut(ends.join(classes.select("class", "doc"), "class"))
     sets = cut(_sets(docs, wanted, size, id_col, text_col))
@@ -271,15 +343,17 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     first = _verified(pairs, sets, percent)
     discard(pairs)
     linked = lambda df: df.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found, placed = linked(first), _placed(first, linked(first))
+    found = linked(first)
+    first = first.where("star").drop("star")
+    placed = _placed(first, found)
     centred = _centred(placed.where(F.col("apart") > LISTED), sets)
     again = None
     if not centred.isEmpty():
-        again = _verified(cut(centred.select("a", "b").distinct()), sets, percent)
+        again = _verified(cut(centred.select("a", "b").distinct().withColumn("star", F.lit(True))), sets, percent).drop("star")
         found = found.unionByName(linked(again))
         rest = first.join(centred.select(F.col("old").alias("a")).distinct(), "a", "left_anti")
         placed = _placed(rest.unionByName(again), found)
-    last = _verified(across := _across(placed, sets, percent), sets, percent)
+    last = _verified(across := _across(placed, sets, percent).withColumn("star", F.lit(True)), sets, percent)
     out = cut(found.unionByName(linked(last)))
     discard(first, centred, again, placed, across, last, sets)
     return out

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes that are hashed at once.
 SLICE = 1 << 19
@@ -122,3 +124,32 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
         out = (out ^ hashes[i : i + n]) * _MULTIPLY
         out ^= out >> _S29
     return mixed(out)
+
+
+#: Bits of a key within its block of 64, and of the filter for each key; the most blocks (8 MB).
+HASHES, BITS_A_KEY, MOST_BLOCKS = 4, 12, 1 << 20
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A blocked Bloom filter of the 64-bit hashes in ``column``, of bounded size: of more than some
+    millions of keys it passes others too, so that an exact join must follow it."""
+    count, blocks = keys.count(), 1
+    while blocks * 64 < count * BITS_A_KEY and blocks < MOST_BLOCKS:
+        blocks *= 2
+    key, mask = F.col(column), F.lit(0).cast("bigint")
+    for i in range(HASHES):
+        bit = F.shiftrightunsigned(key, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+    block = F.shiftrightunsigned(key, 30).bitwiseAND(F.lit(blocks - 1))
+    found = keys.groupBy(block.cast("int").alias("block")).agg(F.bit_or(mask).alias("bits")).toArrow()
+    out = np.zeros(blocks, np.uint64)
+    out[found.column("block").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(blocks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the hashes the filter passes."""
+    keys, mask, one, low = keys.view(np.uint64), np.uint64(0), np.uint64(1), np.uint64(63)
+    for i in range(HASHES):
+        mask = mask | (one << ((keys >> np.uint64(6 * i)) & low))
+    return blocks[(keys >> np.uint64(30)) & np.uint64(len(blocks) - 1)] & mask == mask
