@@ -237,12 +237,16 @@ def _fits(percent: int) -> Column:
 
 
 def _differing(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``a``, ``b``, ``token`` and ``df``: the elements in which b's set differs from a's and others'
-    do too, and how many of a's members do. Second, the table to discard after it."""
+    """``a``, ``b``, ``token``, ``df`` and ``weight``: the elements in which b's set differs from
+    a's and others' do too, how many of a's members do, and how many elements the row stands for:
+    those that differ for the same members of a (a passage's) are one. Second, the table to discard
+    after it."""
     diff = F.concat(F.array_except("set_b", "set_a"), F.array_except("set_a", "set_b"))
     posted = cut(_with_sets(pairs.select("a", "b"), sets).select("a", "b", F.explode(diff).alias("token")))
-    beside = posted.groupBy("a", "token").agg(F.count("*").alias("df")).where("df > 1")
-    return posted.join(beside, ["a", "token"]), posted
+    members = F.bit_xor(F.xxhash64("b", "a"))
+    beside = posted.groupBy("a", "token").agg(F.count("*").alias("df"), members.alias("members")).where("df > 1")
+    met = posted.join(beside, ["a", "token"]).groupBy("a", "b", "df", "members").agg(F.count("*").alias("weight"))
+    return met.withColumnRenamed("members", "token"), posted
 
 
 def _centred(many: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,7 +254,7 @@ def _centred(many: DataFrame, sets: DataFrame) -> DataFrame:
     them together, if it does so less than the pivot, and each other member ``b``. The sum of a
     member's differences follows from how many members share each element of its own."""
     differing, scratch = _differing(many, sets)
-    common = differing.groupBy("a", "b").agg(F.sum(F.col("df") - 1).alias("common"))
+    common = differing.groupBy("a", "b").agg(F.sum((F.col("df") - 1) * F.col("weight")).alias("common"))
     beyond = (F.col("members") - 1) * F.col("d") - 2 * F.coalesce("common", F.lit(0))
     sums = many.join(common, ["a", "b"], "left").select("a", "b", beyond.alias("beyond"))
     centre = sums.groupBy("a").agg(F.min(F.struct("beyond", "b")).alias("least")).where("least.beyond < 0").select("a", F.col("least.b").alias("centre"))
@@ -272,9 +276,9 @@ def _differences(many: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     own = many.select("a", "b", "n_b", "d", "comp", F.when(F.col("held"), 0).otherwise(apart).alias("probes"), other.alias("kept"))
     each = Window.partitionBy("a", "b")
     # elements that no other member shares come first, and need no row
-    at = F.row_number().over(each.orderBy("df", "token")) - 1 - F.count("*").over(each)
+    before = F.coalesce(F.sum("weight").over(each.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     differing, scratch = _differing(many, sets)
-    met = differing.withColumn("at", at).drop("df").join(own, ["a", "b"]).withColumn("at", F.col("at") + F.col("d"))
+    met = differing.withColumn("at", before - F.sum("weight").over(each)).drop("df", "weight").join(own, ["a", "b"]).withColumn("at", F.col("at") + F.col("d"))
     posted = cut(met.where(F.col("at") < F.greatest("probes", "kept")))
     discard(scratch)
     x = _side(posted.where("at < probes"), "x", "a", "token", F.col("at").alias("at_x"))
@@ -352,7 +356,8 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
         again = _verified(cut(centred.select("a", "b").distinct().withColumn("star", F.lit(True))), sets, percent).drop("star")
         found = found.unionByName(linked(again))
         rest = first.join(centred.select(F.col("old").alias("a")).distinct(), "a", "left_anti")
-        placed = _placed(rest.unionByName(again), found)
+        # a centre may be another shingle's pivot
+        placed = _placed(rest.unionByName(again).dropDuplicates(["a", "b"]), found)
     last = _verified(across := _across(placed, sets, percent).withColumn("star", F.lit(True)), sets, percent)
     out = cut(found.unionByName(linked(last)))
     discard(first, centred, again, placed, across, last, sets)
