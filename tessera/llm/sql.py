@@ -37,7 +37,7 @@ LINE_DEDUP = r"""
 WITH s AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i AS pos, ls[i] AS line, string_split(lower(trim(ls[i], ' ')), ' ') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
 k AS (SELECT array_to_string(w, ' ') AS key, len(w) AS n, any_value(w) AS w, min(struct_pack(d := doc_id, p := pos)) AS first
-    FROM l WHERE len(w) >= 5 GROUP BY ALL HAVING len(w) >= 5),
+    FROM l WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY ALL),
 v AS (SELECT key, first, n, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS var
     FROM (SELECT key, first, n, w, unnest(range(1, n + 1)) AS i FROM k WHERE n >= 8)),
 near AS (
@@ -47,7 +47,7 @@ near AS (
     UNION ALL SELECT key, first FROM k),
 e AS (SELECT key, min(first) AS first FROM near GROUP BY key),
 f AS (SELECT l.doc_id, l.pos, l.line, coalesce(e.first < struct_pack(d := l.doc_id, p := l.pos), false) AS dropped
-    FROM l LEFT JOIN e ON len(l.w) >= 5 AND e.key = array_to_string(l.w, ' ')),
+    FROM l LEFT JOIN e ON e.key = array_to_string(l.w, ' ')),
 g AS (SELECT doc_id, count(*) FILTER (dropped) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '') AS kept FROM f GROUP BY doc_id)
 SELECT s.doc_id, CAST(CASE WHEN s.text = '' THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped,
     n_dropped > 0 AND NOT regexp_matches(kept, '[^ \t\n\v\f\r]') AS emptied, sha256(kept) AS kept_sha256 FROM s JOIN g USING (doc_id)
