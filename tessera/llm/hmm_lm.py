@@ -272,7 +272,8 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     log_mass[:OWN] = log_mass[-1] = 0
     model = train(training, vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary, model, log_mass))
-    fields = "id bigint, held boolean, n bigint, known bigint, logs double, single double, mass double, path double"
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = f"id {kind}, held boolean, n bigint, known bigint, logs double, single double, mass double, path double"
     schema = f"row bigint, hash bigint, n bigint, doc struct<{fields.replace(' ', ': ').replace(',: ', ', ')}>"
 
     def rows(batch: pa.RecordBatch) -> dict:

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe_codec import bpe_digests, bpe_encode_decode
 from tessera.llm.components import components
+import tessera.llm.decontaminate as dc
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.embedding_dedup import embedding_dedup
 from tessera.llm.hmm_lm import Model, Vocabulary, expected_counts, hmm_scores, log_likelihoods
 from tessera.llm.html_text import extract_text, main_text
-from tessera.llm.line_dedup import line_dedup
+from tessera.llm.line_dedup import dropped_lines, line_dedup
 from tessera.llm.ngram_join import ngram_jaccard_join, shingles
 from tessera.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from tessera.llm.token_counts import token_counts
@@ -130,7 +131,7 @@ def test_line_dedup_edges(spark, docs):
     rows = [(1, f"{line}\nshort one\nshort one"), (2, f" {line.upper()} \nother words stand here alone"), (3, line.replace("five", "5")), (4, line.replace("five ", "")), (5, line.replace("five", "x").replace("two", "y")), (None, line), (6, None), (7, "")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("drop", F.lit("x"))
     found = {r.doc_id: r for r in line_dedup(table).collect()}
-    assert len(found) == len(rows) and found[1].text == rows[0][1] and found[2].text == "other words stand here alone"
+    assert len(found) == len(rows) and found[1].text == f"{line}\nshort one" and found[2].text == "other words stand here alone"
     assert found[3].line_dedup.emptied and found[4].line_dedup.emptied and not found[5].line_dedup.emptied
     assert found[None].text == line and found[6].text is None and found[6].line_dedup.n_lines == 0 and found[7].line_dedup.n_lines == 0
     assert line_dedup(docs).count() == docs.count() and line_dedup(docs.limit(0)).count() == 0
@@ -166,10 +167,165 @@ def test_decontaminate_edges(spark, docs):
     long = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(1, long), (2, "tiny item"), (3, None), (4, "..."), (None, long), (1, "more words")], "item_id bigint, text string")
     table = spark.createDataFrame([(1, f"x {long} y Tiny-Item tiny item"), (2, "tiny"), (3, None), (1, "w1 w2 w3 w4 w5 w6 w7 W8!")], "doc_id bigint, text string")
-    for block in (1 << 20, 5):  # one block, and one for each item
-        found = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate(table, items, block_bytes=block).collect())
-        assert found == [(1, 8, 8, ("1",), False), (1, 26, 24, ("1", "2"), True), (2, 1, 0, (), False), (3, 0, 0, (), False)]
+    found = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate(table, items).collect())
+    assert found == [(1, 8, 8, ("1",), False), (1, 26, 24, ("1", "2"), True), (2, 1, 0, (), False), (3, 0, 0, (), False)]
     assert decontaminate(docs, items.limit(0)).where("n_items > 0").count() == 0
+    assert decontaminate(docs.limit(0), items).count() == 0
+
+
+def brute_hits(text, items, size=8):
+    """Hit words and items of a text, by comparing every window with every place."""
+    split = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").lower()).split()
+    words, hit, names = split(text), set(), set()
+    for name, item in items:
+        own = split(item)
+        n = min(size, len(own))
+        for start in range(len(own) - n + 1) if n else ():
+            for at in range(len(words) - n + 1):
+                if words[at : at + n] == own[start : start + n]:
+                    hit |= set(range(at, at + n))
+                    names.add(str(name))
+    return len(words), len(hit), sorted(names)
+
+
+def test_decontaminate_against_brute_force(spark):
+    """A small vocabulary, so that shingles repeat within and across windows; ids are strings, and
+    columns clash with the operator's own names."""
+    rng = random.Random(11)
+    draw = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    items = [(f"i{k}", draw(rng.choice([1, 2, 3, 5, 8, 9, 14]))) for k in range(25)] + [("i0", draw(12)), ("x", "")]
+    rows = [(f"d{k}", draw(rng.choice([0, 1, 3, 7, 8, 20, 200])), 1, 2, 3) for k in range(40)]
+    rows += [(f"e{k}", draw(5) + ", " + items[k % 25][1].upper() + "; " + draw(5), 1, 2, 3) for k in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, id int, row int, places int")
+    table = spark.createDataFrame(items, "item_id string, text string")
+    for r in decontaminate(docs, table).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(text, items), r.doc_id
+
+
+def test_embeddings_against_brute_force(spark):
+    """Three lengths, scaled by very large and small numbers, around the threshold, over several blocks."""
+    import tessera.llm.embedding_dedup as ed
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for width in (3, 64, 5):
+        for base in rng.normal(size=(40, width)):
+            for _ in range(rng.integers(1, 6)):
+                near = base + rng.normal(size=width) * rng.choice([0, 0.2, 0.33]) * np.linalg.norm(base) / np.sqrt(width)
+                rows.append((len(rows), (near * rng.choice([1, 2, 1e-200, 1e200])).tolist()))
+    by_width, links, label = {}, np.zeros(len(rows), int), np.arange(len(rows))
+    for i, v in rows:
+        by_width.setdefault(len(v), []).append(i)
+    for at in by_width.values():
+        x = np.array([np.array(rows[i][1]) / np.abs(rows[i][1]).max() for i in at])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        links[at] = near.sum(1)
+        i, j = (np.array(at)[k] for k in np.nonzero(near))
+        for _ in range(20):
+            np.minimum.at(label, i, label[j])
+    expected = [(i, links[i], label[i]) for i in range(len(rows))]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("id", F.lit(1)).withColumn("raw", F.lit("x"))
+    before = ed.ALONE, ed.BLOCK_BYTES
+    try:
+        for ed.ALONE, ed.BLOCK_BYTES in (before, (4, 3000)):
+            found = embedding_dedup(vectors).select("vec_id", "n_links", "component_id").collect()
+            assert sorted(map(tuple, found)) == expected
+    finally:
+        ed.ALONE, ed.BLOCK_BYTES = before
+    assert sum(links) > 100
+
+
+def test_tiles_find_all_links():
+    import tessera.llm.embedding_dedup as ed
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 24))
+    x[300:] = x[:400] + 0.06 * rng.normal(size=(400, 24))
+    side = ed.Side(x, None)
+    pairs = {(min(p, q), max(p, q)) for i, j in ed.tiles_linked(side, side, 0.95, True) for p, q in zip(side.order[i].tolist(), side.order[j].tolist(), strict=True)}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    assert pairs == set(zip(i.tolist(), j.tolist(), strict=True)) and len(pairs) >= 300
+
+
+def test_words_by_batches():
+    """Hashes against splitting with Python, over slices that cut long texts and long words."""
+    import pyarrow as pa
+
+    import tessera.llm.words as W
+
+    rng = random.Random(4)
+    texts = [None, "", "  ", "A b\tC", "x" * 3000, " " * 3000, "é ẞ 日本", "a\x00b \x1c c"]
+    texts += ["".join(rng.choice("abc  \n.é") for _ in range(rng.choice([5, 100, 2000]))) for _ in range(40)]
+    before = W.SLICE
+    try:
+        for W.SLICE in (before, 64, 1000):
+            for separators, split in ((W.SPACE, lambda t: t.encode().lower().split()), (W.NOT_ALNUM, lambda t: t.encode().translate(dc.LOWER).split())):
+                words = W.words_of(pa.array(["skipped", *texts], pa.string())[1:], separators)
+                seen = {}
+                for k, text in enumerate(texts):
+                    own = range(int(words.first[k]), int(words.first[k + 1]))
+                    assert [words.text(i, i + 1).lower() for i in own] == split(text or "")
+                    for i in own:
+                        assert seen.setdefault(words.text(i, i + 1).lower(), words.hashes[i]) == words.hashes[i]
+                assert len(set(seen.values())) == len(seen)
+    finally:
+        W.SLICE = before
+
+
+def test_line_dedup_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f g h i"), (1, "a b c d x y z w v"), (2, "a b c d e f g h j"), (2, "z b c d x y z w v"), (3, "a b c d e f g h i\nown")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for name in ("line_dedup", "line_dedup_text", "line_dedup_drop", "row", "kept", "key", "drop"):
+        table = table.withColumn(name, F.lit("mine"))
+    out = line_dedup(table)
+    assert out.columns == [c for c in table.columns if c != "line_dedup"] + ["line_dedup"]
+    found = Counter((r.doc_id, r.text, r.row, r.line_dedup.n_dropped) for r in out.collect())
+    assert found == Counter([(1, rows[0][1], "mine", 0), (1, rows[1][1], "mine", 0), (2, "", "mine", 1), (2, "", "mine", 1), (3, "own", "mine", 1)])
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Words inserted, deleted and replaced at any place, of even and odd lengths."""
+    rng = random.Random(8)
+    lines = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(7, 11))]
+        for _ in range(9):
+            words, at = list(base), rng.randrange(len(base))
+            words[at : at + rng.randint(0, 1)] = rng.choice([[], [f"n{rng.randint(0, 3)}"]])
+            lines.append(" ".join(words))
+    lines += ["one two", "one two", "One  two", "", " ", "one"]
+    rng.shuffle(lines)
+
+    def within(a, b):
+        if a == b:
+            return True
+        if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    words = [line.strip(" ").lower().split(" ") for line in lines]
+    dropped = {i for i, line in enumerate(lines) if line.strip() and any(lines[j].strip() and within(words[j], words[i]) for j in range(i))}
+    docs = spark.createDataFrame([(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3 + 1)], "doc_id bigint, text string")
+    found = {(r.doc, r.pos) for r in dropped_lines(docs).collect()}
+    assert found == {(i // 3, i % 3) for i in dropped} and len(found) > 40
+
+
+def test_ids_of_other_types(spark):
+    """Ids are strings in every operator that joins."""
+    rows = [("b", "one two three four five six seven eight nine"), ("a", "one two three four five six seven eight nine"), (None, "x"), ("c", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()}
+    assert found == {"a": "a", "b": "a", "c": "c", None: None}
+    vectors = spark.createDataFrame([("q", [1.0, 2.0]), ("p", [2.0, 4.0]), (None, [1.0, -2.0])], "vec_id string, embedding array<float>")
+    assert {r.vec_id: (r.component_id, r.n_links) for r in embedding_dedup(vectors).collect()} == {"q": ("p", 1), "p": ("p", 1), None: (None, 0)}
+    assert hmm_scores(docs).schema["doc_id"].dataType.simpleString() == "string" and hmm_scores(docs).count() == 4
 
 
 def test_html():
