@@ -25,9 +25,9 @@ from tessera.llm.common import map_batches, texts
 from tessera.llm.token_counts import byte_symbols
 
 #: Bytes of each of the two generations of a worker's cache of chunks, and of an entry's objects.
-CACHE, ENTRY = 24 << 20, 350
+CACHE, ENTRY = 12 << 20, 350
 #: Bytes of text whose new words are merged together.
-BATCH = 4 << 20
+BATCH = 2 << 20
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -182,7 +182,7 @@ def _coded(docs: DataFrame, vocabulary: str, columns, schema: str, id_col: str,
         return {id_col: batch.column(0)} | {k: [c[k] for c in coded] for k in names}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), rows, f"{id_col} {kind}, {schema}", BATCH)
+    return map_batches(docs.select(id_col, text_col), rows, f"{id_col} {kind}, {schema}", BATCH, codec.cache_clear)
 
 
 def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

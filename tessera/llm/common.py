@@ -95,18 +95,24 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small(df: DataFrame, limit_bytes: int = 8 << 20) -> bool:
-    """Whether a table that ``cut`` wrote is small enough on disk to be broadcast."""
-    return stored_bytes(df) <= limit_bytes
+#: Bytes in memory that a broadcast table takes, for each byte of it on disk, about.
+EXPANSION = 5
+#: Bytes in memory up to which a table is broadcast.
+BROADCAST = 16 << 20
 
 
-def joined(left: DataFrame, right: DataFrame, on, how: str, limit_bytes: int = 8 << 20) -> DataFrame:
+def small(df: DataFrame, limit_bytes: int = BROADCAST) -> bool:
+    """Whether a table that ``cut`` wrote is small enough to be broadcast."""
+    return EXPANSION * stored_bytes(df) <= limit_bytes
+
+
+def joined(left: DataFrame, right: DataFrame, on, how: str, limit_bytes: int = BROADCAST) -> DataFrame:
     """Join that broadcasts ``right`` behind a check of its size, and shuffles beyond it."""
     return left.join(F.broadcast(right) if small(right, limit_bytes) else right, on, how)
 
 
 def map_batches(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, limit_bytes: int = 8 << 20, at_end: Callable[[], None] | None = None
+    df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, limit_bytes: int = 2 << 20, at_end: Callable[[], None] | None = None
 ) -> DataFrame:
     """``mapInArrow`` with a function from a batch to columns by name. A batch comes in slices of
     about ``limit_bytes``, one row at least; ``at_end`` runs when a task ends."""
@@ -126,10 +132,23 @@ def map_batches(
         finally:
             if at_end:
                 at_end()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system, as workers wait for their next task beside
+    those that work."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def _arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -1,20 +1,29 @@
 """HTML extraction by tag-path ratios.
 
-A page's text is cut into blocks, each under its root-to-leaf path of block elements. For each
-path the length of text, of link text and the punctuation of all its blocks are summed; the
-path's ratios (text and punctuation a block) are smoothed with those of the neighbouring paths in
-page order, fused by their product, and paths over a threshold are content. The smallest element
-that holds most of the content, or the article or main element around it, is the article; its blocks
-are the text, with the blocks on content paths outside it and the headings beside those, but for what
-is under elements that are boilerplate by tag or by a word of their class, id or role.
+A page's text is cut into blocks, each under its root-to-leaf path of block elements with their
+class, id and role. For each path these are summed over all its blocks: length of text, punctuation,
+length of link text. Its ratios are text a block and punctuation a block, smoothed with those of the
+neighbouring paths in page order; the share of text that is no link; and a ratio for the marks of
+boilerplate on the path. They are fused by their product. The fused scores are smoothed over the
+tree of paths: a path takes over a share of the best score under each of its ancestors, the less
+the deeper that lies, and less across the border of an article or main element, so that a heading or
+a short item beside content passes and a menu does not. Blocks of the paths whose score is
+``THRESHOLD`` of the best or more are the text, in page order.
+
+Marks are one ratio among the others and decide nothing alone: elements that are boilerplate by tag
+or by a word of their class weigh little, those of which only a part of a longer class name is such
+a word weigh more, and a form or such a part of a name does not count where it wraps half of the
+page's text.
 
 Null, empty and text-less pages give the empty text. Unclosed and misnested tags are repaired as
-far as blocks need it. Nothing is cut off. Repeated rows give repeated results.
+far as blocks need it. Nothing is cut off. Repeated rows give repeated results; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -29,20 +38,26 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small "
     "span strike strong sub sup time tt u var wbr img input".split()
 )
-BOILERPLATE = frozenset("nav footer aside form menu dialog button header fieldset head".split())
+#: What elements weigh that are boilerplate by their tag; ``header`` outside of articles, ``form``
+#: where it holds less than half of the text.
+TAGS = {"nav": 0.002, "footer": 0.002, "aside": 0.002, "menu": 0.002, "dialog": 0.002, "button": 0.002, "head": 0.002, "fieldset": 0.002, "header": 0.005, "form": 0.002}
+# Words of a class, id or role that mark boilerplate, in any part of a name.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments disqus replies respond breadcrumb breadcrumbs "
+    "cookie cookies consent gdpr newsletter subscribe popup pagination pager copyright footer navigation contentinfo complementary".split()
+)
+# Those that mark it as a whole name, and weigh less as a part of one.
+PARTS = frozenset(
+    "nav navbar menu menus sidebar side header masthead topbar toolbar banner promo promotion notice notices alert alerts modal overlay dialog signup login "
+    "share sharing social related recommended recommendations widget widgets search disclaimer skip".split()
+)
+#: What a marked name weighs, and a name with a marked part, outside and inside of articles.
+NAME, PART, PART_INSIDE = 0.002, 0.15, 0.4
 #: A start tag of the left closes an open element of the right, up to the nearest other block.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"},
 }
-#: Words of a class, id or role that mark boilerplate.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|comments?|replies|disqus|respond|nav\w*|menu\w*|"
-    r"breadcrumbs?|footer|masthead|header|site-?header|page-?header|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|search|copyright|disclaimer|"
-    r"complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
-    re.I,
-)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(" + "|".join(RAW) + r""")(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1(?=[\s/>])[^>]*>|$)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""",
@@ -50,41 +65,58 @@ TOKEN = re.compile(
 )
 MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？¿¡]")
-#: Share of the best path's fused ratio from which a path is content.
+NAMES = re.compile(r"[^\s]+")
+WORD = re.compile(r"[a-z]+")
+#: Share of the best path's score from which a path is content.
 THRESHOLD = 0.1
-#: Share of the content that the article's element must hold.
-MOST = 0.8
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-
-class Element:
-    __slots__ = ("tag", "parent", "path", "out", "order")
-
-    def __init__(self, tag: str, attributes: str, parent: Element | None, order: int):
-        self.tag, self.parent, self.order = tag, parent, order
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        marks = " ".join(m.strip("\"'") for m in MARKED.findall(attributes)) if attributes else ""
-        in_article = parent is not None and parent.within("article", "main")
-        own = tag in BOILERPLATE and not (tag == "header" and in_article)
-        own = own or (tag not in ("html", "body", "article", "main") and bool(marks) and bool(MARKS.search(marks)))
-        self.out = own or (parent is not None and parent.out)
-        if marks:
-            self.path += "." + marks
-
-    def within(self, *tags: str) -> bool:
-        element: Element | None = self
-        while element:
-            if element.tag in tags:
-                return True
-            element = element.parent
-        return False
-
-
-def blocks_of(html: str) -> list[tuple[Element, str, int]]:
-    """Each block's element, text and length of link text, in page order."""
-    root = Element("", "", None, 0)
-    top, order = root, 0
-    blocks: list[tuple[Element, str, int]] = []
+#: What a path takes over of the best score under its parent, for each level deeper, and across the
+#: border of an article or main element.
+SHARE, DEEPER, BORDER = 0.3, 0.5, 0.3
+#: Of the neighbours in page order; what a path of links alone keeps.
+NEIGHBOURS, LINKS = 0.2, 0.35
+
+
+class Paths:
+    """The tree of a page's paths: for each its parent, tag, marks, and the sums over its blocks."""
+
+    def __init__(self):
+        self.ids: dict[tuple[int, str, str], int] = {}
+        self.parent, self.tag, self.marks = [-1], [""], [""]
+        self.blocks, self.text, self.links, self.punctuation = [0], [0], [0], [0]
+
+    def child(self, parent: int, tag: str, marks: str) -> int:
+        found = self.ids.setdefault((parent, tag, marks), len(self.parent))
+        if found == len(self.parent):
+            self.parent.append(parent), self.tag.append(tag), self.marks.append(marks)
+            for sums in (self.blocks, self.text, self.links, self.punctuation):
+                sums.append(0)
+        return found
+
+    def add(self, path: int, text: str, links: int) -> None:
+        self.blocks[path] += 1
+        self.text[path] += len(text)
+        self.links[path] += min(links, len(text))
+        self.punctuation[path] += len(PUNCTUATION.findall(text))
+
+
+def mark_weight(marks: str, inside: bool, wraps: bool) -> float:
+    weight = 1.0
+    for name in NAMES.findall(marks.lower()):
+        if name in MARKS or name in PARTS:
+            weight = min(weight, NAME)
+        else:
+            words = set(WORD.findall(name))
+            if words & MARKS:
+                weight = min(weight, NAME)
+            elif words & PARTS and not wraps:
+                weight = min(weight, PART_INSIDE if inside else PART)
+    return weight
+
+
+def blocks_of(html: str) -> tuple[Paths, list[tuple[int, str]]]:
+    """The page's paths, and each block's path and text, in page order."""
+    paths, blocks = Paths(), []
+    stack, opened = [0], Counter()
     parts: list[str] = []
     links = in_link = 0
 
@@ -93,16 +125,20 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append((top, text, links))
+                blocks.append((stack[-1], text))
+                paths.add(stack[-1], text, links)
             parts.clear()
         links = 0
 
+    def close() -> None:
+        opened[paths.tag[stack.pop()]] -= 1
+
     at = 0
     for token in TOKEN.finditer(html):
         if token.start() > at:
             piece = html[at : token.start()]
             parts.append(piece)
-            links += len(piece) * (in_link > 0)
+            links += len(piece) * in_link
         at = token.end()
         tag = token[3]
         if tag is None:
@@ -116,79 +152,64 @@ def blocks_of(html: str) -> list[tuple[Element, str, int]]:
         if tag in VOID:
             continue
         if closing:
-            element: Element | None = top
-            while element and element.tag != tag:
-                element = element.parent
-            if element and element.parent:
-                top = element.parent
+            if opened[tag] > 0:
+                while paths.tag[stack[-1]] != tag:
+                    close()
+                close()
             continue
-        while top.tag == "p" or top.tag in CLOSES.get(tag, ()):  # a block ends an open paragraph
-            top = top.parent
-        order += 1
-        top = Element(tag, token[4], top, order)
+        while paths.tag[stack[-1]] == "p" or paths.tag[stack[-1]] in CLOSES.get(tag, ()):  # a block ends an open paragraph
+            close()
+        marks = " ".join(m.strip("\"'") for m in MARKED.findall(token[4])) if token[4] else ""
+        stack.append(paths.child(stack[-1], tag, marks))
+        opened[tag] += 1
     if at < len(html):
         parts.append(html[at:])
     end_block()
-    return blocks
-
-
-def content_paths(blocks: list[tuple[Element, str, int]]) -> set[str]:
-    """Paths whose smoothed and fused ratios pass the threshold."""
-    sums: dict[str, list[float]] = {}
-    for element, text, links in blocks:
-        own = sums.setdefault(element.path, [0, 0, 0, element.out])
-        own[0] += 1
-        own[1] += max(0, len(text) - links)
-        own[2] += len(PUNCTUATION.findall(text))
-    paths = [p for p, s in sums.items() if not s[3]]
-    ratios = [(sums[p][1] / sums[p][0], (sums[p][2] + 0.5) / sums[p][0]) for p in paths]
-    fused = []
-    for i, (own, marks) in enumerate(ratios):
-        near = [ratios[j] for j in (i - 1, i + 1) if 0 <= j < len(ratios)]
-        smooth = lambda k, x: 0.8 * x + 0.2 * sum(r[k] for r in near) / len(near) if near else x  # noqa: B023, E731
+    return paths, blocks
+
+
+def path_scores(paths: Paths) -> list[float]:
+    """Each path's fused and smoothed score."""
+    n, parent, tag = len(paths.parent), paths.parent, paths.tag
+    under = [t - k for t, k in zip(paths.text, paths.links, strict=True)]
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        under[parent[i]] += under[i]
+    inside, weight = [False] * n, [1.0] * n
+    for i in range(1, n):
+        wraps = 2 * under[i] >= under[0]
+        own = 1.0 if tag[i] == "header" and inside[parent[i]] or tag[i] == "form" and wraps else TAGS.get(tag[i], 1.0)
+        if tag[i] not in ("html", "body", "article", "main"):
+            own = min(own, mark_weight(paths.marks[i], inside[parent[i]], wraps))
+        inside[i] = inside[parent[i]] or tag[i] in ("article", "main")
+        weight[i] = weight[parent[i]] * own
+    held = [i for i in range(n) if paths.blocks[i]]
+    ratios = [((paths.text[i] - paths.links[i]) / paths.blocks[i], (paths.punctuation[i] + 0.5) / paths.blocks[i]) for i in held]
+    score, rest = [0.0] * n, [0.0] * n
+    for k, i in enumerate(held):
+        near = [ratios[j] for j in (k - 1, k + 1) if 0 <= j < len(held)]
+        smooth = [(1 - NEIGHBOURS) * x + NEIGHBOURS * sum(r[m] for r in near) / len(near) if near else x for m, x in enumerate(ratios[k])]
+        solid = 1 - paths.links[i] / paths.text[i]
         # the path's whole text weighs in, so that one long caption does not outdo an article
-        fused.append((smooth(0, own) * smooth(1, marks) * (1 + sums[paths[i]][1])) ** (1 / 3))
-    if not fused or max(fused) <= 0:
-        return set()
-    return {p for p, f in zip(paths, fused, strict=True) if f >= THRESHOLD * max(fused)}
+        score[i] = weight[i] * (smooth[0] * smooth[1] * (1 + solid * paths.text[i])) ** (1 / 3)
+        rest[i] = weight[i] * max(LINKS, solid)
+    # the best score under each path, less for each level and across an article's border
+    best = list(score)
+    for i in range(n - 1, 0, -1):
+        up = best[i] * (1.0 if not paths.parent[i] or score[i] == best[i] else DEEPER) * (BORDER if tag[i] in ("article", "main") else 1.0)
+        best[parent[i]] = max(best[parent[i]], up)
+    around = list(best)
+    for i in range(1, n):
+        around[i] = max(best[i], around[parent[i]])
+    return [max(score[i], SHARE * around[parent[i]] * rest[i]) if paths.blocks[i] else 0.0 for i in range(n)]
 
 
 def main_text(html: str | None) -> str:
-    blocks = blocks_of(html) if html else []
-    paths = content_paths(blocks)
-    content = [(e, t) for e, t, _ in blocks if e.path in paths]
-    if not content:
+    paths, blocks = blocks_of(html) if html else (None, [])
+    if not blocks:
         return ""
-    total = sum(len(t) for _, t in content)
-    held: dict[Element, int] = {}
-    for element, text in content:
-        # the block's own element does not count as the article: paragraphs are its parts
-        up: Element | None = element.parent or element
-        while up:
-            held[up] = held.get(up, 0) + len(text)
-            up = up.parent
-    def least(share: float) -> Element:
-        found = max((e for e, n in held.items() if n >= share * total), key=lambda e: e.order)
-        up: Element | None = found
-        while up and up.tag not in ("article", "main"):
-            up = up.parent
-        return up or found
-
-    article, whole = least(MOST), least(1)
-
-    def inside(element: Element | None, outer: Element) -> bool:
-        while element:
-            if element is outer:
-                return True
-            element = element.parent
-        return False
-
-    def kept(element: Element) -> bool:
-        if element.out:
-            return False
-        return element.path in paths or inside(element, article) or (element.tag in HEADINGS and inside(element, whole))
-
-    return "\n".join(t for e, t, _ in blocks if kept(e))
+    scores = path_scores(paths)
+    least = THRESHOLD * max(scores)
+    return "\n".join(text for path, text in blocks if scores[path] >= least > 0)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

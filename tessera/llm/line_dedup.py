@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, discard, joined
 
 MIN_WORDS, FUZZY_WORDS = 1, 8
-#: Bytes on disk up to which small tables are broadcast.
-BROADCAST = 4 << 20
 
 
 def _normal(line: Column) -> Column:
@@ -76,7 +74,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int
     near, scratch = _near(docs, kinds, id_col, text_col)
     earlier = cut(repeated.unionByName(near).groupBy("h1", "h2").agg(F.min("first").alias("first")))
     discard(kinds, *scratch)
-    return joined(found.select("doc", "pos", "h1", "h2"), earlier, ["h1", "h2"], "inner", BROADCAST).where(F.col("first") < place).select("doc", "pos", "first")
+    return joined(found.select("doc", "pos", "h1", "h2"), earlier, ["h1", "h2"], "inner").where(F.col("first") < place).select("doc", "pos", "first")
 
 
 def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
@@ -84,9 +82,9 @@ def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> tupl
     that one's place. Second, the tables to discard after it."""
     halves = kinds.select("h1", "h2", "first", F.explode("halves").alias("half")).select("h1", "h2", "first", "half.half", "half.side")
     shared = cut(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"))
-    wanted = joined(halves, shared, "half", "inner", BROADCAST).groupBy("first", "h1", "h2").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    wanted = joined(halves, shared, "half", "inner").groupBy("first", "h1", "h2").agg(F.min("side").alias("low"), F.max("side").alias("high"))
     by_doc = cut(wanted.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "low", "high")).alias("at")))
-    texts = joined(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), by_doc, "doc", "inner", BROADCAST)
+    texts = joined(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), by_doc, "doc", "inner")
     lines = texts.select("doc", "at", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     # rows that share an id bring other lines to the same place: the hash tells them apart
     mine = F.filter("at", lambda x: x["pos"] == F.col("pos"))
@@ -105,7 +103,7 @@ def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> tupl
     emitted = cut(emitted)
     # replaced: the same place left out of lines of the same size
     same = cut(emitted.where("i > 0").groupBy("key", "n", "i").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last").drop("last"))
-    replaced = joined(emitted, same, ["key", "n", "i"], "inner", BROADCAST).where("other < id").select("id", "other", "i", F.lit(0).alias("more"))
+    replaced = joined(emitted, same, ["key", "n", "i"], "inner").where("other < id").select("id", "other", "i", F.lit(0).alias("more"))
     # one word more or less: a line, and another with a word left out
     met = emitted.withColumn("m", F.col("n") - F.when(F.col("i") > 0, 1).otherwise(0))
     both = met.groupBy("key", "m").agg(
@@ -113,7 +111,7 @@ def _near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> tupl
     ).where("whole IS NOT NULL AND longer IS NOT NULL")
     both = cut(both.select("key", "m", "whole", F.col("longer.id").alias("longer"), F.col("longer.i").alias("at")))
     whole = F.col("i") == 0
-    resized = joined(met, both, ["key", "m"], "inner", BROADCAST).select(
+    resized = joined(met, both, ["key", "m"], "inner").select(
         "id", F.when(whole, F.col("longer")).otherwise(F.col("whole")).alias("other"), F.when(whole, F.col("at")).otherwise(F.col("i")).alias("i"), F.when(whole, 1).otherwise(-1).alias("more"),
     ).where("other < id")
     pairs = replaced.unionByName(resized).groupBy("id", "other", "more").agg(F.min("i").alias("i"))
@@ -137,7 +135,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = F
     drop = dropped_lines(docs, min_words, fuzzy_words, id_col, text_col)
     drop = cut(drop.groupBy(F.col("doc").alias("key")).agg(F.collect_set("pos").alias("drop")))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("key"), docs[text_col].alias("text"))
-    rows = joined(rows, drop, "key", "left", BROADCAST).select("row", "text", "drop", F.split("text", "\n").alias("lines"))
+    rows = joined(rows, drop, "key", "left").select("row", "text", "drop", F.split("text", "\n").alias("lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     rows = rows.withColumn("kept", F.when(F.col("drop").isNotNull(), F.transform(places, lambda i: F.get("lines", i))))
     rows = rows.withColumn("left", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")))

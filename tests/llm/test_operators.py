@@ -347,6 +347,64 @@ def test_html_keeps_content_outside_the_largest_part():
     assert main_text(page).startswith(own + "\n")
 
 
+def labelled_pages():
+    """Pages of several layouts, with the blocks that are their main text."""
+    rng = random.Random(6)
+    words = "time year people way day man thing woman life child world school state family student group country problem hand part".split()
+
+    def prose(n):
+        out = []
+        while len(out) < n:
+            own = [rng.choice(words) for _ in range(rng.randint(4, 14))]
+            out += [" ".join(own).capitalize() + rng.choice([".", ".", "?", ", and so on."])]
+        return " ".join(out)
+
+    menu = "<ul>" + "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in words[:8]) + "</ul>"
+    for k in range(60):
+        title, lead, item = f"Title {k} of the page", f"A short lead {k}.", f"item {k}"
+        texts = [prose(rng.randint(2, 9)) for _ in range(rng.randint(2, 7))]
+        body = "".join(f"<p>{t}</p>" for t in texts)
+        ad, note = "<div class='ad'>Buy now, it is cheap. Only today, for you!</div>", "<div id=cookie-banner><p>We use cookies, as all do. Accept?</p><button>OK</button></div>"
+        comments = "<section id='comments'><h3>Comments</h3>" + "".join(f"<div class='comment-body'><p>{prose(4)}</p></div>" for _ in range(rng.randint(1, 9))) + "</section>"
+        side = f"<div class='sidebar'><h4>Latest</h4><p>{prose(2)}</p>{menu}</div>"
+        foot = "<footer><p>© 2024 Example, all rights reserved.</p></footer>"
+        truth = [title, lead, *texts]
+        article = f"<h1>{title}</h1><p class='lead'>{lead}</p>{body}"
+        yield from [
+            (f"<html><body><nav>{menu}</nav><article>{article}</article>{side}{comments}{foot}</body></html>", truth),
+            (f"<body><div id=top>{menu}</div>{note}<div class='post'><div class='entry'>{article}{ad}</div>{comments}</div>{side}{foot}</body>", truth),
+            (f"<body><form action='/page.aspx'><div class='menu'>{menu}</div><div class='content'>{article}</div>{foot}</form></body>", truth),
+            (f"<body><nav>{menu}</nav><article>{article}<div class='news-alert'><p>{texts[0]}</p></div></article>{foot}</body>", [*truth, texts[0]]),
+            (f"<body>{note}<div id='search-engines'>{article}</div>{ad}{foot}</body>", truth),
+            (f"<body class='has-sidebar'><header><h2>Site</h2>{menu}</header><main><header><h1>{title}</h1></header><p>{lead}</p><section>{body}<ul><li>{item}</li><li>{item}</li></ul></section></main>{side}{foot}</body>", [title, lead, *texts, item, item]),
+            (f"<body><table><tr><td class='nav'>{menu}</td><td><h1>{title}</h1><p>{lead}" + "".join(f"<p>{t}" for t in texts) + f"</td></tr></table><div class='related-posts'>{menu}</div></body>", truth),
+            (f"<body><article><h1>{title}</h1><form class='newsletter'><p>Your mail, please. It is free.</p><input></form><p>{lead}</p><div><div>{body}</div></div><blockquote>{item}</blockquote></article>{side}</body>", [*truth, item]),
+        ]
+
+
+def test_html_on_labelled_pages():
+    found = expected = both = 0
+    worst = {}
+    for k, (page, truth) in enumerate(labelled_pages()):
+        own, wanted = Counter(main_text(page).split("\n")), Counter(truth)
+        hit = sum(len(t) * n for t, n in (own & wanted).items())
+        size = lambda c: sum(len(t) * n for t, n in c.items())
+        found, expected, both = found + size(own), expected + size(wanted), both + hit
+        sums = worst.setdefault(k % 8, [0, 0, 0])
+        worst[k % 8] = [sums[0] + size(own), sums[1] + size(wanted), sums[2] + hit]
+    assert both / found >= 0.95 and both / expected >= 0.95, worst
+    assert all(h / f >= 0.9 and h / e >= 0.9 for f, e, h in worst.values()), worst
+
+
+def test_html_edges(spark):
+    assert main_text("<div>" * 30_000 + "<p>Deep, but here.") == "Deep, but here."
+    assert main_text("plain text, no tags at all") == "plain text, no tags at all"
+    assert main_text("</p></div>x<nav>a</nav>") == "x"
+    pages = spark.createDataFrame([("k", None, "<p>a, b.</p>", 1), (None, "u", "", 2), ("k", "u", None, 3)], "page_id string, url string, html string, text int")
+    assert sorted((r.page_id or "", r.text, r.n_chars) for r in extract_text(pages).collect()) == [("", "", 0), ("k", "", 0), ("k", "a, b.", 5)]
+    assert extract_text(pages.limit(0)).count() == 0
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<article><p>Hello, you.</p></article>")], "page_id bigint, url string, html string")
     assert sorted((r.text, r.n_chars) for r in extract_text(pages).collect()) == [("", 0), ("Hello, you.", 11)]
