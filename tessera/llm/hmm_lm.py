@@ -4,66 +4,79 @@ Latent states emit word classes: the most frequent words have a class each, the
 their ending, and within a class a word's probability is its share of the corpus counts, plus
 one, unseen words together counting as one more. States and transitions are trained by
 Baum-Welch: a start on a bounded sample in the driver, then rounds over all training texts, whose
-expected counts are summed across partitions. A text's likelihood is exact, by scaled forward
-recursion over its whole sequence.
+expected counts are summed across partitions, until the likelihood settles or ``ROUNDS`` are over.
+A text's likelihood is exact, by scaled forward recursion over its whole sequence.
+
+Long texts are taken in pieces side by side without a cut in the model: the product of a piece's
+transition and emission matrices carries the forward and the backward vectors exactly from piece to
+piece, so that starts, transitions at the borders and likelihoods are those of the whole text.
 
 Counts of all words are gathered from the whole corpus. The most frequent ``FREQUENT`` are
 broadcast, a table of fixed size; occurrences of others meet their counts in a join. Words are
 identified by 64-bit hashes. Null and empty texts hold the end alone. A null id is not held out.
 Repeated rows give repeated results. Without training texts all words are unseen and states are
-uniform.
+uniform. Ids may be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import Recent, _arrow_schema, cut, in_chunks, map_batches, texts
+from tessera.llm.common import _arrow_schema, cut, give_back, in_chunks, map_batches
 from tessera.llm.toxicity import held_out
+from tessera.llm.words import SPACE, Words, mixed, words_of
 
 #: Latent states, words with a class of their own, classes by ending, words in the broadcast table.
 STATES, OWN, ENDINGS, FREQUENT = 8, 4096, 2048, 1 << 18
-#: The start: training texts, their characters at most, and rounds in the driver. Then rounds over all training texts.
-START_TEXTS, START_CHARS, START_ROUNDS, ROUNDS = 400, 20_000, 12, 2
-#: Texts are cut into sequences of so many tokens for training (not for scoring).
-SEQUENCE = 512
+#: The start: texts and bytes of text at most, and rounds in the driver. Then rounds over all
+#: training texts at most, and the gain of the likelihood of a token below which they end.
+START_TEXTS, START_BYTES, START_ROUNDS, ROUNDS, SETTLED = 400, 2 << 20, 12, 4, 1e-3
+#: Tokens of a piece, and steps of a recursion between scalings.
+PIECE = 256
 #: Bytes of text that are trained on at once.
-BATCH = 4 << 20
-#: Bytes of each of the two generations of a worker's cache of word codes.
-CACHE = 24 << 20
-END = b"\n"
+BATCH = 2 << 20
+#: The end's hash; no word has it but by chance.
+END = -(1 << 62) - 12345
 SMOOTH = 0.05
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text.encode().lower().split() if text else []) + [END]
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+def ending_classes(words: Words) -> np.ndarray:
+    """A class for each word by its last three bytes, lower-cased."""
+    code = np.zeros(len(words.starts), np.uint64)
+    for k in (3, 2, 1):
+        at = words.ends - k
+        byte = np.where(at >= words.starts, words.data[np.maximum(at, 0)] if len(words.data) else 0, 0)
+        byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+        code = code * np.uint64(256) + byte.astype(np.uint64)
+    return (mixed(code * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ENDINGS)).astype(np.int64)
 
 
-def ending(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-3:]) % ENDINGS
+def with_ends(words: Words, values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each text's words and ``end`` after them, flat; where each text begins."""
+    first = words.first + np.arange(len(words.first))
+    out = np.full(len(values) + len(words.first) - 1, end, np.int64)
+    places = np.arange(len(values)) + np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    out[places] = values
+    return out, first
 
 
 def count_words(training: DataFrame) -> DataFrame:
     """``hash``, ``ending`` and count ``c`` of every distinct token of the texts (column 0)."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        counts: Counter[bytes] = Counter()
-        for text in texts(batch.column(0)):
-            counts.update(words_of(text))
-        return {"hash": [word_hash(w) for w in counts], "ending": [ending(w) for w in counts], "c": list(counts.values())}
+        words = words_of(batch.column(0), SPACE)
+        hashes, at, counts = np.unique(words.hashes.view(np.int64), return_index=True, return_counts=True)
+        endings = ending_classes(words)[at]
+        end = [END], [0], [batch.num_rows]
+        return {k: np.concatenate([x, e]) for k, x, e in zip(("hash", "ending", "c"), (hashes, endings, counts), end, strict=True)}
 
     found = map_batches(training, rows, "hash bigint, ending int, c bigint")
     return found.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("c").alias("c"))
@@ -95,34 +108,27 @@ class Vocabulary:
         """Words in order of frequency."""
         rank = np.arange(len(hashes))
         classes = np.where(rank < OWN, rank, OWN + endings)
-        classes[hashes == word_hash(END)] = OWN + ENDINGS
+        classes[hashes == END] = OWN + ENDINGS
         order = np.argsort(hashes)
         self.hashes, self.classes = hashes[order], classes[order].astype(np.int32)
         self.log_counts = np.log10(counts[order] + 1.0)
         #: whether the word's class is its own
         self.single = (self.classes < OWN) | (self.classes == OWN + ENDINGS)
-        self.code = Recent(self.find, CACHE)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "code"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self.code = Recent(self.find, CACHE)
 
-    def find(self, word: bytes) -> int:
-        """The word's place in the table, or -1 less its ending's class."""
-        key = word_hash(word)
-        at = int(np.searchsorted(self.hashes, key))
-        if at < len(self.hashes) and self.hashes[at] == key:
-            return at
-        return -1 - (OWN + ENDINGS if word == END else OWN + ending(word))
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's place in the table, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-
-    def classes_of(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes >= 0, self.classes[np.maximum(codes, 0)] if len(self.classes) else 0, -1 - codes)
+    def coded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts' tokens, flat: hashes, places and classes; and where each text begins."""
+        words = words_of(column, SPACE)
+        hashes, first = with_ends(words, words.hashes.view(np.int64), END)
+        endings, _ = with_ends(words, ending_classes(words), ENDINGS)
+        places = self.places(hashes)
+        return hashes, places, np.where(places >= 0, self.classes[places] if len(self.classes) else 0, OWN + endings), first
 
 
 class Model:
@@ -143,109 +149,208 @@ class Model:
         return cls(np.ones(STATES), np.eye(STATES) * 20 + 1, emits)
 
 
-def _layout(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sequences flat, longest first; their order, starts and, for each step, how many go on."""
-    lengths = np.array([len(s) for s in sequences])
-    order = np.argsort(-lengths, kind="stable")
-    flat = np.concatenate([sequences[i] for i in order])
-    lengths = lengths[order]
-    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    return flat, order, np.cumsum(lengths) - lengths, active
-
-
-def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Natural logarithm of each sequence's probability (no sequence is empty)."""
-    flat, order, starts, active = _layout(sequences)
-    total = np.zeros(len(sequences))
-    alpha = np.broadcast_to(model.start, (len(sequences), STATES))
-    for t, n in enumerate(active):
-        alpha = (alpha[:n] @ model.moves if t else alpha[:n]) * model.by_class[flat[starts[:n] + t]]
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        total[:n] += np.log(scale)
-    out = np.empty(len(sequences))
-    out[order] = total
-    return out
-
-
-def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, transitions and emissions of the sequences."""
-    flat, _, starts, active = _layout(sequences)
-    emits = model.by_class[flat]
-    alpha, scale = np.empty((len(flat), STATES)), np.empty(len(flat))
-    now = None
-    for t, n in enumerate(active):
+@dataclass
+class Pieces:
+    """Texts in pieces, longest first: ``starts`` in the flat tokens, ``lengths``, the ``text`` and
+    the place ``nth`` in it of each, and for each step how many pieces go on (``active``)."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    text: np.ndarray
+    nth: np.ndarray
+    active: np.ndarray
+
+    @classmethod
+    def of(cls, flat: np.ndarray, first: np.ndarray) -> Pieces:
+        sizes = np.diff(first)
+        counts = -(-sizes // PIECE)
+        text = np.repeat(np.arange(len(sizes)), counts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = first[text] + nth * PIECE
+        lengths = np.minimum(PIECE, first[text + 1] - starts)
+        order = np.argsort(-lengths, kind="stable")
+        active = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
+        return cls(flat, starts[order], lengths[order], text[order], nth[order], active)
+
+
+def _transfers(model: Model, p: Pieces, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled product of the matrices of each of the ``chosen`` pieces (in their order), and
+    the logarithm of its scale."""
+    starts, lengths = p.starts[chosen], p.lengths[chosen]
+    out = np.broadcast_to(np.eye(STATES), (len(chosen), STATES, STATES)).copy()
+    logs = np.zeros(len(chosen))
+    for t in range(int(lengths.max(initial=0))):
+        n = int(np.searchsorted(-lengths, -t, side="left"))
+        now = (out[:n].reshape(-1, STATES) @ model.moves).reshape(n, STATES, STATES) * model.by_class[p.flat[starts[:n] + t]][:, None, :]
+        if t % 8 == 7 or t + 1 == lengths[0] or n < len(out):
+            scale = now.sum((1, 2))
+            now /= scale[:, None, None]
+            logs[:n] += np.log(scale)
+        out[:n] = now
+    scale = out.sum((1, 2))
+    return out / scale[:, None, None], logs + np.log(scale)
+
+
+def _forward(model: Model, p: Pieces, chosen: np.ndarray, begin: np.ndarray, keep: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each chosen piece's last forward vector, scaled, and the logarithm of all scales; ``begin`` are
+    the probabilities of states before the first emission. ``keep`` gets each token's vector and scale."""
+    starts, lengths = p.starts[chosen], p.lengths[chosen]
+    out, logs = begin.copy(), np.zeros(len(chosen))
+    ones = np.ones(STATES)
+    for t in range(int(lengths.max(initial=0))):
+        n = int(np.searchsorted(-lengths, -t, side="left"))
         at = starts[:n] + t
-        now = (now[:n] @ model.moves if t else np.broadcast_to(model.start, (n, STATES))) * emits[at]
-        own = now.sum(1)
-        now = now / own[:, None]
-        alpha[at], scale[at] = now, own
-    moves = np.zeros((STATES, STATES))
+        now = (out[:n] @ model.moves if t else out[:n]) * model.by_class[p.flat[at]]
+        scale = now @ ones
+        now /= scale[:, None]
+        logs[:n] += np.log(scale)
+        out[:n] = now
+        if keep is not None:
+            keep[0][at], keep[1][at] = now, scale
+    return out, logs
+
+
+def _chained(model: Model, p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece: the state probabilities before its first emission (``begin``), the backward
+    vector at its last token up to a factor (``after``), and each text's log likelihood."""
+    n_texts = int(p.text.max(initial=-1)) + 1
+    head = np.flatnonzero(p.nth == 0)
+    begin, after = np.broadcast_to(model.start, (len(p.starts), STATES)).copy(), np.ones((len(p.starts), STATES))
+    ends, logs = _forward(model, p, head, begin[head])
+    total, last = np.zeros(n_texts), np.zeros((n_texts, STATES))
+    total[p.text[head]], last[p.text[head]] = logs, ends
+    rest = np.flatnonzero(p.nth > 0)
+    if len(rest):
+        matrices, scales = _transfers(model, p, rest)
+        by_nth = [np.flatnonzero(p.nth[rest] == k) for k in range(1, int(p.nth.max()) + 1)]
+        for at in by_nth:
+            text = p.text[rest[at]]
+            begin[rest[at]] = last[text] @ model.moves
+            now = np.einsum("ni,nij->nj", last[text], matrices[at])
+            own = now.sum(1)
+            total[text] += scales[at] + np.log(own)
+            last[text] = now / own[:, None]
+        behind = np.ones((n_texts, STATES))
+        piece = np.full((n_texts, len(by_nth) + 1), -1)
+        piece[p.text, p.nth] = np.arange(len(p.text))
+        for k in range(len(by_nth), 0, -1):
+            at = by_nth[k - 1]
+            text = p.text[rest[at]]
+            now = np.einsum("nij,nj->ni", matrices[at], behind[text])
+            behind[text] = now / now.sum(1)[:, None]
+            after[piece[text, k - 1]] = behind[text]
+    return begin, after, total
+
+
+def log_likelihoods(model: Model, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each text's probability (``flat`` classes, none empty)."""
+    return _chained(model, Pieces.of(flat, first))[2]
+
+
+def expected_counts(model: Model, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch: expected starts, transitions and emissions of the texts, and their log likelihood."""
+    p = Pieces.of(flat, first)
+    begin, after, total = _chained(model, p)
+    alpha, scale = np.empty((len(flat), STATES)), np.empty(len(flat))
+    every = np.arange(len(p.starts))
+    ends, _ = _forward(model, p, every, begin, (alpha, scale))
+    beta_end = after / np.einsum("ni,ni->n", ends, after)[:, None]
+    moves, turned = np.zeros((STATES, STATES)), model.moves.T.copy()
     beta = np.ones((0, STATES))
-    turned = model.moves.T.copy()
-    for t in range(len(active) - 1, -1, -1):
-        n, later = active[t], len(beta)
-        at = starts[:n] + t
-        back = np.ones((n, STATES))
+    for t in range(len(p.active) - 1, -1, -1):
+        n, later = int(p.active[t]), len(beta)
+        at = p.starts[:n] + t
+        back = beta_end[:n].copy()
         if later:
             following = at[:later] + 1
-            ahead = emits[following] * beta / scale[following][:, None]
+            ahead = model.by_class[flat[following]] * beta / scale[following][:, None]
             moves += alpha[at[:later]].T @ ahead
             back[:later] = ahead @ turned
         alpha[at] *= back  # now the posterior
         beta = back
-    start = alpha[starts].sum(0)
+    # transitions from a piece's last token to the next one's first
+    rest = np.flatnonzero(p.nth > 0)
+    if len(rest):
+        at = p.starts[rest]
+        before = np.empty((len(rest), STATES))
+        where = {(int(x), int(k)): i for i, (x, k) in enumerate(zip(p.text, p.nth, strict=True))}
+        before[:] = ends[[where[int(p.text[i]), int(p.nth[i]) - 1] for i in rest]]
+        # the first token's backward vector, from its posterior
+        first_beta = alpha[at] / np.maximum((begin[rest] * model.by_class[flat[at]]) / scale[at][:, None], 1e-300)
+        moves += before.T @ (model.by_class[flat[at]] * first_beta / scale[at][:, None])
+    start = alpha[p.starts[p.nth == 0]].sum(0)
     emitted = np.stack([np.bincount(flat, alpha[:, k], Vocabulary.CLASSES) for k in range(STATES)])
-    return start, moves * model.moves, emitted
-
-
-def _sequences(vocabulary: Vocabulary, found: list[str]) -> list[np.ndarray]:
-    out = []
-    for text in found:
-        classes = vocabulary.classes_of(vocabulary.codes(words_of(text)))
-        out += [classes[i : i + SEQUENCE] for i in range(0, len(classes), SEQUENCE)]
-    return out
+    return start, moves * model.moves, emitted, float(total.sum())
+
+
+def _start_texts(training: DataFrame) -> list[str]:
+    """The start's sample: of the texts in order of a hash of their ids, as many as its bounds let in."""
+    key = F.xxhash64("id")
+    sizes = training.where("id IS NOT NULL").select("id", key.alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    # twice as many as are wanted, from a part of the hash range that holds them
+    share = min(1.0, 8 * START_TEXTS / max(1, sizes.count()))
+    if share < 1:
+        sizes = sizes.where(F.col("key") < int((2 * share - 1) * (1 << 63)))
+    chosen, held = [], 0
+    for r in sizes.orderBy("key", "id").limit(2 * START_TEXTS).collect():
+        if held + r.size <= START_BYTES and len(chosen) < START_TEXTS:
+            chosen.append(r.id)
+            held += r.size
+    kind = training.schema["id"].dataType.simpleString()
+    wanted = training.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(chosen)], f"id {kind}")
+    # rows that share an id give one text
+    found = training.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return [r.text for r in found.orderBy(F.xxhash64("id"), "id").collect()]
 
 
 def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
     """The model, from all texts of ``training`` (columns id and text)."""
-    # the start's sample is bounded by number and by the length of a text; all texts go through the rounds
-    picked = training.where(F.coalesce(F.length("text"), F.lit(0)) <= START_CHARS).orderBy(F.xxhash64("id"), "id").select("text").limit(START_TEXTS)
-    sequences = _sequences(vocabulary, [r.text or "" for r in picked.collect()])
-    model = Model.first(np.concatenate(sequences) if sequences else np.zeros(0, np.int64))
-    for _ in range(START_ROUNDS if sequences else 0):
-        model = Model(*expected_counts(model, sequences))
+    sample = _start_texts(training)
+    _, _, flat, first = vocabulary.coded(pa.array(sample, pa.string()))
+    model, before = Model.first(flat), None
+    for _ in range(START_ROUNDS if sample else 0):
+        model = Model(*expected_counts(model, flat, first)[:3])
     schema = "kind int, item int, " + ", ".join(f"s{k} double" for k in range(STATES))
     arrow = _arrow_schema(StructType.fromDDL(schema))
-    for _ in range(rounds if sequences else 0):
+    for _ in range(rounds if sample else 0):
         shared = training.sparkSession.sparkContext.broadcast((vocabulary, model))
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, model = shared.value
             start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, Vocabulary.CLASSES))
+            score, tokens = 0.0, 0
             for batch in batches:
                 for part in in_chunks(batch, BATCH):
-                    own = expected_counts(model, _sequences(vocabulary, texts(part.column(0))))
+                    _, _, flat, first = vocabulary.coded(part.column(0))
+                    own = expected_counts(model, flat, first)
                     start, moves, emits = start + own[0], moves + own[1], emits + own[2]
+                    score, tokens = score + own[3], tokens + len(flat)
             used = np.flatnonzero(emits.any(0))
-            table = np.concatenate([start[None], moves, emits.T[used]])
-            kinds = np.repeat([0, 1, 2], [1, STATES, len(used)]).astype("int32")
-            items = np.concatenate([[0], np.arange(STATES), used]).astype("int32")
+            table = np.concatenate([start[None], moves, emits.T[used], [[score, tokens] + [0.0] * (STATES - 2)]])
+            kinds = np.repeat([0, 1, 2, 3], [1, STATES, len(used), 1]).astype("int32")
+            items = np.concatenate([[0], np.arange(STATES), used, [0]]).astype("int32")
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(items), *(pa.array(table[:, k]) for k in range(STATES))], schema=arrow)
+            give_back()
 
         found = training.select("text").mapInArrow(sums, schema).groupBy("kind", "item").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)))
         rows = found.toPandas()  # one row a class at most
         start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, Vocabulary.CLASSES))
-        values = rows[[f"s{k}" for k in range(STATES)]].to_numpy(float)
+        values, likelihood = rows[[f"s{k}" for k in range(STATES)]].to_numpy(float), 0.0
         for kind, item, row in zip(rows["kind"], rows["item"], values, strict=True):
             if kind == 0:
                 start = row
             elif kind == 1:
                 moves[item] = row
-            else:
+            elif kind == 2:
                 emits[:, item] = row
+            else:
+                likelihood = row[0] / max(row[1], 1)
         model = Model(start, moves, emits)
         shared.unpersist()
+        if before is not None and likelihood - before < SETTLED:
+            break
+        before = likelihood
     return model
 
 
@@ -266,7 +371,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     head = top[: min(OWN, len(top))]
     np.subtract.at(mass, OWN + head["ending"].to_numpy(int), head["c"].to_numpy(float) + 1)
     in_tail = top[OWN:]
-    for r in in_tail[in_tail["hash"] == word_hash(END)].itertuples():
+    for r in in_tail[in_tail["hash"] == END].itertuples():
         mass[OWN + r.ending] -= r.c + 1
     log_mass = np.log10(np.maximum(mass, 0) + 1)
     log_mass[:OWN] = log_mass[-1] = 0
@@ -278,27 +383,29 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def rows(batch: pa.RecordBatch) -> dict:
         vocabulary, model, log_mass = shared.value
-        out: dict[str, list] = {"row": [], "hash": [], "n": [], "doc": []}
-        classes, docs = [], []
-        for row, key, held, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            words = words_of(text)
-            codes = vocabulary.codes(words)
-            at = codes[codes >= 0]
-            logs = vocabulary.log_counts[at] if len(at) else np.zeros(0)
-            mine = vocabulary.classes_of(codes)
-            classes.append(mine)
-            docs.append({"id": key, "held": held, "n": len(words), "known": len(at), "logs": float(logs.sum()),
-                         "single": float(logs[vocabulary.single[at]].sum()) if len(at) else 0.0, "mass": float(log_mass[mine].sum())})
-            out["row"].append(row), out["hash"].append(None), out["n"].append(0)
-            if len(at) < len(words):
-                for word, n in Counter([words[i] for i in np.flatnonzero(codes < 0)]).items():
-                    out["row"].append(row), out["hash"].append(word_hash(word)), out["n"].append(n)
-        paths = log_likelihoods(model, classes) / np.log(10) if classes else []
-        it = iter([d | {"path": float(p)} for d, p in zip(docs, paths, strict=True)])
-        out["doc"] = [next(it) if h is None else None for h in out["hash"]]
+        hashes, places, classes, first = vocabulary.coded(batch.column(3))
+        known = places >= 0
+        logs = np.where(known, vocabulary.log_counts[places] if len(vocabulary.hashes) else 0.0, 0.0)
+        single = np.where(known & vocabulary.single[places], logs, 0.0) if len(vocabulary.hashes) else logs * 0
+        sums = lambda x: np.add.reduceat(x, first[:-1]).tolist()  # every text has its end
+        paths = (log_likelihoods(model, classes, first) / np.log(10)).tolist()
+        columns = [batch.column(1).to_pylist(), batch.column(2).to_pylist(), np.diff(first).tolist(), *map(sums, (known.astype(np.int64), logs, single, log_mass[classes])), paths]
+        names = ("id", "held", "n", "known", "logs", "single", "mass", "path")
+        docs = [dict(zip(names, values, strict=True)) for values in zip(*columns, strict=True)]
+        row = batch.column(0).to_numpy()
+        # a text's words beyond the table, each once with its number
+        rare = np.flatnonzero(~known)
+        owner = np.searchsorted(first, rare, side="right") - 1
+        order = np.lexsort((hashes[rare], owner))
+        owner, rare = owner[order], hashes[rare][order]
+        begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1]))) if len(rare) else np.zeros(0, int)
+        times = np.diff(np.append(begin, len(rare)))
         # a document's own row meets no word; it gets a hash, lest all of them go to one task
-        out["hash"] = [h if h is not None else -1 - (r * 0x9E3779B97F4A7C15 & (1 << 62) - 1) for h, r in zip(out["hash"], out["row"], strict=True)]
-        return out
+        apart = (mixed(row.astype(np.uint64) + np.uint64(1)) >> np.uint64(1)).astype(np.int64)
+        return {
+            "row": np.concatenate([row, row[owner[begin]]]), "hash": np.concatenate([apart, rare[begin]]), "n": np.concatenate([np.zeros(len(row), np.int64), times]),
+            "doc": docs + [None] * len(begin),
+        }
 
     met = map_batches(own.select(F.monotonically_increasing_id().alias("row"), "id", "held", "text"), rows, schema)
     met = met.join(counts.select("hash", "c"), "hash", "left").withColumn("c", F.when(F.col("doc").isNull(), F.col("c")))

@@ -457,9 +457,23 @@ def test_hmm_recursions():
         total += p
         for t in (1, 2):
             moves[path[t - 1], path[t]] += p
-    assert np.isclose(log_likelihoods(model, [sequence[:1], sequence])[1], np.log(total))
-    start, found, emits = expected_counts(model, [sequence])
-    assert np.allclose(found, moves / total) and np.isclose(start.sum(), 1) and np.isclose(emits.sum(), 3)
+    flat, first = np.concatenate([sequence[:1], sequence]), np.array([0, 1, 4])
+    assert np.isclose(log_likelihoods(model, flat, first)[1], np.log(total))
+    start, found, emits, score = expected_counts(model, sequence, np.array([0, 3]))
+    assert np.allclose(found, moves / total) and np.isclose(start.sum(), 1) and np.isclose(emits.sum(), 3) and np.isclose(score, np.log(total))
+    # in pieces, as a whole
+    lengths = [1, 7, 8, 9, 40, 23, 16]
+    flat, first = random.integers(0, 50, sum(lengths)), np.concatenate([[0], np.cumsum(lengths)])
+    whole = log_likelihoods(model, flat, first), expected_counts(model, flat, first)
+    before = lm.PIECE
+    try:
+        for lm.PIECE in (8, 3, 1):
+            assert np.allclose(log_likelihoods(model, flat, first), whole[0])
+            for x, y in zip(expected_counts(model, flat, first), whole[1], strict=True):
+                assert np.allclose(x, y)
+    finally:
+        lm.PIECE = before
+    assert np.isclose(whole[1][1].sum(), sum(lengths) - len(lengths)) and np.isclose(whole[1][0].sum(), len(lengths))
 
 
 def test_hmm_scores(spark, docs):
