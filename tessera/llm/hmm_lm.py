@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import _arrow_schema, cut, give_back, in_chunks, map_batches
+from tessera.llm.common import _arrow_schema, cut, discard, give_back, in_chunks, map_batches
 from tessera.llm.toxicity import held_out
 from tessera.llm.words import SPACE, Words, mixed, words_of
 
@@ -38,22 +38,22 @@ from tessera.llm.words import SPACE, Words, mixed, words_of
 STATES, OWN, ENDINGS, FREQUENT = 8, 4096, 2048, 1 << 18
 #: The start: texts and bytes of text at most, and rounds in the driver. Then rounds over all
 #: training texts at most, and the gain of the likelihood of a token below which they end.
-START_TEXTS, START_BYTES, START_ROUNDS, ROUNDS, SETTLED = 400, 2 << 20, 12, 4, 1e-3
+START_TEXTS, START_BYTES, START_ROUNDS, ROUNDS, SETTLED = 400, 2 << 20, 12, 3, 1e-3
 #: Tokens of a piece, and steps of a recursion between scalings.
 PIECE = 256
-#: Bytes of text that are trained on at once.
-BATCH = 2 << 20
+#: Tokens that are trained on at once (two bytes each as codes).
+BATCH = 400_000
 #: The end's hash; no word has it but by chance.
 END = -(1 << 62) - 12345
 SMOOTH = 0.05
 
 
-def ending_classes(words: Words) -> np.ndarray:
-    """A class for each word by its last three bytes, lower-cased."""
-    code = np.zeros(len(words.starts), np.uint64)
+def ending_classes(words: Words, chosen: np.ndarray) -> np.ndarray:
+    """A class for each chosen word by its last three bytes, lower-cased."""
+    code, starts, ends = np.zeros(len(chosen), np.uint64), words.starts[chosen], words.ends[chosen]
     for k in (3, 2, 1):
-        at = words.ends - k
-        byte = np.where(at >= words.starts, words.data[np.maximum(at, 0)] if len(words.data) else 0, 0)
+        at = ends - k
+        byte = np.where(at >= starts, words.data[np.maximum(at, 0)] if len(words.data) else 0, 0)
         byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
         code = code * np.uint64(256) + byte.astype(np.uint64)
     return (mixed(code * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ENDINGS)).astype(np.int64)
@@ -74,7 +74,7 @@ def count_words(training: DataFrame) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> dict:
         words = words_of(batch.column(0), SPACE)
         hashes, at, counts = np.unique(words.hashes.view(np.int64), return_index=True, return_counts=True)
-        endings = ending_classes(words)[at]
+        endings = ending_classes(words, at)
         end = [END], [0], [batch.num_rows]
         return {k: np.concatenate([x, e]) for k, x, e in zip(("hash", "ending", "c"), (hashes, endings, counts), end, strict=True)}
 
@@ -115,20 +115,38 @@ class Vocabulary:
         #: whether the word's class is its own
         self.single = (self.classes < OWN) | (self.classes == OWN + ENDINGS)
 
+        # a hash table with open addresses, a fourth full at most
+        bits = max(4, int(4 * len(hashes)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        for place, slot in enumerate((self.hashes.view(np.uint64) & self.mask).tolist()):
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) & int(self.mask)
+            self.slots[slot] = place
+
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's place in the table, or -1."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        out = np.full(len(hashes), -1, np.int32)
+        left, slot = np.arange(len(hashes)), hashes.view(np.uint64) & self.mask
+        while len(left) and len(self.hashes):
+            at = self.slots[slot]
+            own = self.hashes[at] == hashes[left]
+            hit = own & (at >= 0)
+            out[left[hit]] = at[hit]
+            more = np.flatnonzero((at >= 0) & ~own)
+            left, slot = left[more], (slot[more] + np.uint64(1)) & self.mask
+        return out
 
     def coded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts' tokens, flat: hashes, places and classes; and where each text begins."""
         words = words_of(column, SPACE)
+        places = self.places(words.hashes.view(np.int64))
+        classes = self.classes[places].astype(np.int64) if len(self.classes) else np.zeros(len(places), np.int64)
+        unknown = np.flatnonzero(places < 0)
+        classes[unknown] = OWN + ending_classes(words, unknown)
         hashes, first = with_ends(words, words.hashes.view(np.int64), END)
-        endings, _ = with_ends(words, ending_classes(words), ENDINGS)
-        places = self.places(hashes)
-        return hashes, places, np.where(places >= 0, self.classes[places] if len(self.classes) else 0, OWN + endings), first
+        end = self.places(np.array([END]))[0]
+        return hashes, with_ends(words, places, end)[0], with_ends(words, classes, OWN + ENDINGS)[0], first
 
 
 class Model:
@@ -311,18 +329,29 @@ def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
     model, before = Model.first(flat), None
     for _ in range(START_ROUNDS if sample else 0):
         model = Model(*expected_counts(model, flat, first)[:3])
+    shared = training.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def codes(batch: pa.RecordBatch) -> dict:
+        _, _, classes, begin = shared.value.coded(batch.column(0))
+        classes = classes.astype(np.int16)
+        return {"codes": [classes[i:j].tobytes() for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]}
+
+    coded = cut(map_batches(training.select("text"), codes, "codes binary"))  # read in each round
     schema = "kind int, item int, " + ", ".join(f"s{k} double" for k in range(STATES))
     arrow = _arrow_schema(StructType.fromDDL(schema))
     for _ in range(rounds if sample else 0):
-        shared = training.sparkSession.sparkContext.broadcast((vocabulary, model))
+        shared = training.sparkSession.sparkContext.broadcast(model)
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            vocabulary, model = shared.value
+            model = shared.value
             start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, Vocabulary.CLASSES))
             score, tokens = 0.0, 0
             for batch in batches:
-                for part in in_chunks(batch, BATCH):
-                    _, _, flat, first = vocabulary.coded(part.column(0))
+                for part in in_chunks(batch, 2 * BATCH):
+                    column = part.column(0)
+                    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+                    flat = np.frombuffer(column.buffers()[2], np.int16)[first[0] : first[-1]].astype(np.int64)
+                    first = first - first[0]
                     own = expected_counts(model, flat, first)
                     start, moves, emits = start + own[0], moves + own[1], emits + own[2]
                     score, tokens = score + own[3], tokens + len(flat)
@@ -333,7 +362,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(items), *(pa.array(table[:, k]) for k in range(STATES))], schema=arrow)
             give_back()
 
-        found = training.select("text").mapInArrow(sums, schema).groupBy("kind", "item").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)))
+        found = coded.mapInArrow(sums, schema).groupBy("kind", "item").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)))
         rows = found.toPandas()  # one row a class at most
         start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, Vocabulary.CLASSES))
         values, likelihood = rows[[f"s{k}" for k in range(STATES)]].to_numpy(float), 0.0
@@ -351,6 +380,7 @@ def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
         if before is not None and likelihood - before < SETTLED:
             break
         before = likelihood
+    discard(coded)
     return model
 
 
