@@ -9,7 +9,8 @@ those into a score.
 
 Labels are learned from a bounded sample of labelled rows (``SAMPLE``, the least by hash of the
 id; a documented parameter), less those held out. Words, and beginnings of words, that stand in
-toxic documents far more often than in others become insults of a weight. Scores depend on the
+toxic documents far more often than in others, and not by accident among all the words seen, become
+insults of a weight. The grammar's own words are of four languages. Scores depend on the
 text alone. Null and empty texts have no clauses; without labels of both kinds the grammar's own
 words decide. Labels without an id or a toxic mark are ignored; of repeated ones, the largest
 counts. Repeated rows give repeated results.
@@ -27,25 +28,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Recent, map_batches, texts
+from tessera.llm.common import Recent, cut, discard, map_batches, texts
 from tessera.llm.decontaminate import LOWER
 
-#: Labelled rows learned from at most; learned entries at most.
-SAMPLE, ENTRIES = 20_000, 20_000
-#: Beginnings of words that may become entries, in bytes.
+#: Labelled rows learned from at most.
+SAMPLE = 20_000
+#: Beginnings of longer words that may become entries, in bytes.
 STEMS = (4, 5, 6, 7)
-#: An entry's least documents and the share of toxic ones among its documents.
-SUPPORT, PRECISION = 3, 0.8
+#: An entry's least toxic documents, the share of toxic ones among its documents, and the chance
+#: that any of all entries seen stands in as many toxic documents by accident.
+SUPPORT, PRECISION, CHANCE = 3, 0.5, 0.05
+#: Share of a beginning's toxic documents from which a longer one takes its place.
+COVER = 0.9
 PREDICT = 0.3
 #: Bytes of each of the two generations of a worker's two caches; emptied when a task ends.
 CACHE = 12 << 20
 
 # The grammar's own words.
-INSULTS = "idiot idiots moron morons stupid scum worthless loser losers trash pathetic disgusting clown clowns imbecile fool dumb garbage filth vermin".split()
-THREATS = "kill hurt destroy beat stab shoot burn hang murder attack crush smash".split()
-TARGETS = "you your yours yourself he she they them him her his their those these people all everyone u ur".split()
-NEGATIONS = "not no never neither nor without isn aren wasn weren don doesn didn hardly nicht kein keine pas jamais nunca jamas".split()
-REPORTS = "said says say called calls quoted quote wrote writes claimed claims alleged according reported asked told word term phrase".split()
+INSULTS = (
+    "idiot idiots moron morons stupid scum worthless loser losers trash pathetic disgusting clown clowns imbecile fool dumb garbage filth vermin "
+    "dummkopf abschaum versager widerlich ekelhaft wertlos idiota idiotas imbécil estúpido estúpida basura escoria inútil asqueroso "
+    "idiote idiotes imbécile ordure racaille minable répugnant"
+).split()
+THREATS = "kill hurt destroy beat stab shoot burn hang murder attack crush smash töten umbringen verprügeln erschießen matar golpear apuñalar tuer frapper poignarder".split()
+TARGETS = (
+    "you your yours yourself he she they them him her his their those these people all everyone u ur du dich dir dein deine ihr euch sie ihn ihm "
+    "tú tu ti te usted ustedes vosotros él ella ellos ellas toi vous votre vos il elle ils elles lui"
+).split()
+NEGATIONS = "not no never neither nor without isn aren wasn weren don doesn didn hardly nicht kein keine keiner nie niemals pas jamais aucun nunca jamas jamás tampoco".split()
+REPORTS = (
+    "said says say called calls quoted quote wrote writes claimed claims alleged according reported asked told word term phrase "
+    "sagte sagten nannte schrieb behauptete laut dijo dijeron llamó escribió según afirmó dit disait appelé écrit selon affirmé"
+).split()
 
 CLAUSE = re.compile(rb"[.!?;:\n]+")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DONE, INSULT_AT, THREAT_AT = range(9)
@@ -131,7 +145,7 @@ class Lexicon:
 
     def find(self, word: bytes) -> tuple[int, float]:
         best = self.own.get(word)
-        weights = [self.learned.get(word, 0.0)] + [self.learned.get(word[:k] + b"*", 0.0) for k in STEMS if len(word) >= k]
+        weights = [self.learned.get(word, 0.0)] + [self.learned.get(word[:k] + b"*", 0.0) for k in STEMS if len(word) > k]
         if max(weights) > (best[1] if best and best[0] == INSULT else 0.0):
             return INSULT, max(weights)
         return best or (OTHER, 0.0)
@@ -159,7 +173,7 @@ def held_out(id_col: Column, modulus: int = 4, remainder: int = 2) -> Column:
 def entries_of(text: str) -> set[bytes]:
     """The words of a text, and their beginnings marked by a star."""
     words = set(text.encode().translate(LOWER).split())
-    return words | {w[:k] + b"*" for w in words for k in STEMS if len(w) >= k}
+    return words | {w[:k] + b"*" for w in words for k in STEMS if len(w) > k}
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[bytes, float]:
@@ -177,12 +191,27 @@ def learn_lexicon(labelled: DataFrame) -> dict[bytes, float]:
         return {"entry": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]}
 
     sums = map_batches(labelled, rows, "entry binary, clean bigint, toxic bigint").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = sums.where((F.length("entry") == 0) | ((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + 1))))
-    found = {bytes(r.entry): (r.clean, r.toxic) for r in kept.orderBy(F.length("entry") > 0, F.desc("toxic"), "entry").limit(ENTRIES + 1).collect()}
-    clean, toxic = found.pop(b"", (0, 0))
-    weights = {}
-    for entry in sorted(found, key=len):
-        if any(entry[:k] + b"*" in weights for k in STEMS if k < len(entry.rstrip(b"*")) or (k == len(entry) and not entry.endswith(b"*"))):
+    sums = cut(sums)
+    totals = sums.where(F.length("entry") == 0).first()
+    clean, toxic = (totals.clean, totals.toxic) if totals else (0, 0)
+    if not clean or not toxic:
+        return {}
+    # an entry is kept if its excess of toxic documents is no accident among so many entries
+    bound, base = math.log(max(2, sums.count()) / CHANCE), toxic / (clean + toxic)
+    often = sums.where((F.length("entry") > 0) & (F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + 1)))
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    gain = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    found = {bytes(r.entry): (r.clean, r.toxic) for r in often.where(gain >= bound).collect()}  # of the sample's words
+    discard(sums)
+    weights, narrower = {}, set()
+    for entry, (b, a) in found.items():
+        # a beginning gives way to a longer one with nearly all its toxic documents and fewer clean ones
+        for k in STEMS:
+            stem = entry[:k] + b"*"
+            if k < len(entry.rstrip(b"*")) and stem in found and a >= COVER * found[stem][1] and b < found[stem][0]:
+                narrower.add(stem)
+    for entry in sorted(found.keys() - narrower, key=lambda e: (len(e), e)):
+        if any(entry[:k] + b"*" in weights for k in STEMS if k < len(entry.rstrip(b"*"))):
             continue
         a, b = found[entry][1], found[entry][0]
         weight = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
@@ -212,10 +241,14 @@ DEFAULT = np.array([1.0, 1.0, 0.5, -3.0])
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict[bytes, float], np.ndarray]:
     """Lexicon and coefficients from the labelled rows that are not held out."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
-    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    marks = F.broadcast(marks.orderBy(F.xxhash64("id"), "id").limit(sample))  # ``sample`` rows at most
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id").select("id", "text", "toxic")
-    first = labelled.select("text", "toxic")
+    marks = cut(marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic")))
+    # the least by hash: from a part of the hash range that holds them, so that few rows are sorted
+    key, share = F.xxhash64("id"), min(1.0, 2 * sample / max(1, marks.count()))
+    chosen = marks.where(key < int((2 * share - 1) * (1 << 63))) if share < 1 else marks
+    chosen = F.broadcast(chosen.orderBy(key, "id").limit(sample))  # ``sample`` rows at most
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    # rows that share an id give one text, so that the sample keeps its bound
+    first = cut(labelled.groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
     lexicon = learn_lexicon(first)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -224,7 +257,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         found = [own.features(t) for t in texts(batch.column(0))]
         return {f"f{i}": [f[i] for f in found] for i in range(3)} | {"toxic": batch.column(1)}
 
-    got = map_batches(first, rows, "f0 double, f1 double, f2 double, toxic int").limit(2 * sample).toPandas()
+    got = map_batches(first, rows, "f0 double, f1 double, f2 double, toxic int").toPandas()  # ``sample`` rows at most
+    discard(first, marks)
     y = got["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return lexicon, DEFAULT

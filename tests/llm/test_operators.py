@@ -440,6 +440,45 @@ def test_toxicity(spark, docs):
     assert toxicity(docs, labels.limit(0)).count() == docs.count() and toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_grammar_against_rules():
+    """The cascade against the rules it stands for, on all short clauses."""
+    weights = {INSULT: 2.0, THREAT: 1.0}
+    for n in range(1, 6):
+        for clause in itertools.product((OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT), repeat=n):
+            total = 0.0
+            for i, symbol in enumerate(clause):
+                if symbol not in weights:
+                    continue
+                aimed = TARGET in clause[max(0, i - 5) : i] or TARGET in clause[i + 1 : i + 5]
+                near = TARGET in clause[max(0, i - 4) : i] or TARGET in clause[i + 1 : i + 5]
+                if symbol == THREAT and not near:
+                    continue
+                own = weights[symbol] * (1.5 if aimed else 1.0)
+                own *= 0.4 if NEGATION in clause[max(0, i - 3) : i] else 1.0
+                own *= 0.5 if REPORT in clause[max(0, i - 8) : i] else 1.0
+                total += own
+            assert np.isclose(GRAMMAR([(s, weights.get(s, 1.0)) for s in clause]), total), clause
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """What no sample can teach by heart: recall and false alarms by language on held-out labels."""
+    folder = "/root/testdata/sf0.1"
+    labels, docs = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("labels", "documents"))
+    found = toxicity(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "toxic").agg(F.sum("predicted").alias("hits"), F.count("*").alias("n")).collect()
+    sums = {(r["lang"], r.toxic): (r.hits, r.n) for r in found}
+    assert all(hits >= 0.8 * n for (_, toxic), (hits, n) in sums.items() if toxic), sums
+    assert sum(h for (_, t), (h, _) in sums.items() if t) >= 0.93 * sum(n for (_, t), (_, n) in sums.items() if t), sums
+    assert all(hits <= 0.03 * n for (_, toxic), (hits, n) in sums.items() if not toxic), sums
+
+
+def test_toxicity_of_labels_of_one_kind_and_clashing_columns(spark):
+    docs = spark.createDataFrame([("a", "you idiot", 1, 2), ("a", None, 1, 2), (None, "fine", 1, 2)], "doc_id string, text string, held_out int, score int")
+    for label in (0, 1):
+        labels = spark.createDataFrame([("a", label), ("a", label), (None, 1)], "doc_id string, toxic int")
+        found = toxicity(docs, labels).collect()
+        assert len(found) == 3 and all(0 <= r.score <= 1 for r in found) and max(found, key=lambda r: r.score).doc_id == "a"
+
+
 def test_hmm_recursions():
     """Scaled recursions against sums over all paths."""
     from itertools import product
