@@ -27,7 +27,7 @@ from tessera.llm.token_counts import byte_symbols
 #: Bytes of each of the two generations of a worker's cache of chunks, and of an entry's objects.
 CACHE, ENTRY = 12 << 20, 350
 #: Bytes of text whose new words are merged together.
-BATCH = 2 << 20
+BATCH = 1 << 19
 NO_PAIR = np.iinfo(np.int64).max
 
 

@@ -134,9 +134,22 @@ def map_batches(
                 at_end()
             give_back()
 
+    set_batch_rows(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a batch sent to Python, where the session says nothing else than Spark's default: texts of
+#: some kilobytes make megabytes of a thousand rows, on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def set_batch_rows(spark: SparkSession) -> None:
+    """Once a session; it is never set back, so that queries side by side do not disturb each other."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Returns a worker's freed memory to the system, as workers wait for their next task beside
     those that work."""

@@ -42,7 +42,7 @@ SUPPORT, PRECISION, CHANCE = 3, 0.5, 0.05
 COVER = 0.9
 PREDICT = 0.3
 #: Bytes of each of the two generations of a worker's two caches; emptied when a task ends.
-CACHE = 12 << 20
+CACHE = 6 << 20
 
 # The grammar's own words.
 INSULTS = (
