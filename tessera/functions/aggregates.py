@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 NAMES = {"count", "sum", "avg", "min", "max", "array_agg", "group_concat", "first", "last"}
+#: Names of aggregates that users have registered, in any session.
+USER: set[str] = set()
 WINDOW_ONLY = {"row_number", "rank", "dense_rank", "lead", "lag", "first_value", "last_value", "nth_value"}
 
 
@@ -20,20 +22,45 @@ def zero(kind: str) -> str:
     return "0" if kind == "int" else "0D" if kind == "num" else "cast(0 as decimal(38,10))"
 
 
-def grouped(name: str, args: list[str], kinds: list[str], distinct: bool, where: str | None, order: list[str], over: str = "") -> str:
+def total(values: str, kind: str) -> str:
+    """The sum of an array, in the type of the aggregate's result."""
+    to = {"int": "bigint", "num": "double"}.get(kind, "decimal(38,10)")
+    return f"aggregate({values}, cast(0 as {to}), (s, e) -> cast(s + e as {to}))"
+
+
+def comparator(order: list[tuple[str, bool, bool]]) -> str:
+    """A lambda that compares the structs (k0, k1, ...) of collected rows."""
+    found = "0"
+    for i, (_, desc, nulls_first) in reversed(list(enumerate(order))):
+        x, y, null = f"l.k{i}", f"r.k{i}", -1 if nulls_first else 1
+        less = 1 if desc else -1
+        found = f"CASE WHEN {x} IS NULL AND {y} IS NULL THEN {found} WHEN {x} IS NULL THEN {null} WHEN {y} IS NULL THEN {-null} WHEN {x} < {y} THEN {less} WHEN {x} > {y} THEN {-less} ELSE {found} END"
+    return f"(l, r) -> {found}"
+
+
+def grouped(name: str, args: list[str], kinds: list[str], distinct: bool, where: str | None, order: list[tuple[str, bool, bool]], over: str = "", users: dict | None = None) -> str:
     """SQL of an aggregate; with ``over`` a windowed one, for which Spark knows neither FILTER nor
-    DISTINCT."""
+    DISTINCT. ``order``: the keys of ORDER BY inside the call, whether each descends and has nulls
+    first. ``users``: the user's aggregates."""
     x = args[0] if args else "1"
     star = not args
     keep = lambda v: f"CASE WHEN {where} THEN {v} END" if where and over else v
     tail = f" FILTER (WHERE {where})" if where and not over else ""
     tail += f" OVER ({over})" if over else ""
-    x = keep(x)
+    if users and name in users:
+        text = users[name][0](*(f"CASE WHEN {where} THEN {v} END" if where else v for v in args))
+        if over and " OVER ()" not in text:
+            return f"{text} OVER ({over})"
+        return text.replace(" OVER ()", f" OVER ({over})" if over else "")
+    given, x = x, keep(x)
     if distinct and over:
         found = f"collect_set({x}) OVER ({over})"
+        if name == "avg":
+            exact = "decimal(38,10)" if kinds[0] == "dec" else "double"
+            return f"coalesce(cast(try_divide({total(found, kinds[0])}, size({found})) as {exact}), {zero(kind_of(name, kinds))})"
         return {
             "count": f"cast(size({found}) as bigint)", "array_agg": f"array_sort({found})", "group_concat": f"array_join(array_sort({found}), {args[1] if len(args) > 1 else quoted_comma})",
-            "sum": f"aggregate({found}, {zero(kinds[0]) if kinds else '0'}, (s, v) -> s + v)",
+            "sum": total(found, kinds[0] if kinds else "int"),
         }.get(name, f"{name}({x}){tail}")
     d = "DISTINCT " if distinct else ""
     if name == "count":
@@ -42,18 +69,27 @@ def grouped(name: str, args: list[str], kinds: list[str], distinct: bool, where:
         return f"coalesce({name}({d}{x}){tail}, {zero(kind_of(name, kinds))})"
     if name in ("min", "max"):
         return f"{name}({x}){tail}"
-    if name in ("first", "last"):
-        if order:
-            by = order[0] if len(order) == 1 else f"struct({', '.join(order)})"
-            if name == "first":
-                x = f"min_by({x}, {by}) FILTER (WHERE {x} IS NOT NULL{f' AND {where}' if where else ''})"
-                return x
-            return f"max_by({x}, {by}){tail}"
-        return f"{name}({x}{', true' if name == 'first' else ''}){tail}"
     sets = f"collect_{'set' if distinct else 'list'}"
     if order:
-        pairs = f"{sets}(struct({', '.join(order)}, {x} AS v)){tail}"
-        found = f"filter(transform(array_sort({pairs}), e -> e.v), e -> e IS NOT NULL)"
+        if name in ("first", "last") and len(order) == 1:
+            one, desc, nulls_first = order[0]
+            best = "min" if (name == "first") != desc else "max"
+            by = f"struct({one} IS {'' if nulls_first == desc else 'NOT '}NULL AS n, {one} AS k)"
+            present = [f"{x} IS NOT NULL"] if name == "first" else []
+            test = " AND ".join(present + ([where] if where else []))
+            return f"{best}_by(struct({x} AS v), {by}){f' FILTER (WHERE {test})' if test else ''}.v"
+        keys = ", ".join(f"{k} AS k{i}" for i, (k, *_) in enumerate(order))
+        pairs = f"array_sort({sets}(struct({keys}, {x} AS v)){tail}, {comparator(order)})"
+        if name == "first":
+            return f"get(filter({pairs}, e -> e.v IS NOT NULL), 0).v"
+        if name == "last":
+            return f"get({pairs}, size({pairs}) - 1).v"
+        found = f"filter(transform({pairs}, e -> e.v), e -> e IS NOT NULL)"
+    elif name == "first":
+        return f"first({x}, true){tail}"
+    elif name == "last":
+        # a row that the filter leaves out is no last row, but one whose value is null is
+        return f"last(CASE WHEN {where} THEN struct({given} AS v) END, true) OVER ({over}).v" if where and over else f"last({x}){tail}"
     else:
         found = f"{sets}({x}){tail}"
     return found if name == "array_agg" else f"array_join({found}, {args[1] if len(args) > 1 else quoted_comma})"
@@ -73,9 +109,10 @@ def over_frame(name: str, rows: str, args: list[str], kinds: list[str], where: b
     if name == "count":
         return f"cast(size({present if args else kept}) as bigint)"
     if name == "sum":
-        return f"aggregate({present}, {zero(kinds[0])}, (s, e) -> s + e)"
+        return total(present, kinds[0])
     if name == "avg":
-        return f"coalesce(try_divide(aggregate({present}, 0D, (s, e) -> s + e), size({present})), 0D)"
+        exact = "decimal(38,10)" if kinds[0] == "dec" else "double"
+        return f"coalesce(cast(try_divide({total(present, kinds[0])}, size({present})) as {exact}), {zero(kind_of(name, kinds))})"
     if name in ("min", "max"):
         return f"array_{name}({present})"
     if name == "array_agg":

@@ -111,7 +111,7 @@ def _bin(a, t):
     stride = f"(unix_micros(timestamp '1970-01-01 00:00:00' + {a[0]}))"
     micros = lambda x, k: f"unix_micros(cast({datetime(x, k)} as timestamp))"
     source, origin = micros(a[1], t[1]), micros(a[2], t[2]) if len(a) > 2 else "0"
-    floor = f"{origin} + cast(floor(({source} - {origin}) / {stride}) as bigint) * {stride}"
+    floor = f"{source} - pmod({source} - {origin}, {stride})"
     return f"if({stride} <= 0, null, cast(timestamp_micros({floor}) as timestamp_ntz))", "dt"
 
 

@@ -15,6 +15,7 @@ class Lit:
 @dataclass(frozen=True)
 class Param:
     name: str | None
+    at: int | None = None  # of a positional one: its place in the statement
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,7 @@ class Col:
 @dataclass(frozen=True)
 class Star:
     of: str | None = None
+    whole: bool = False  # datetimes stay one column
 
 
 @dataclass(frozen=True)

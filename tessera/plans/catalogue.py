@@ -89,7 +89,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "any_subquery": ("SELECT s_suppkey FROM supplier WHERE s_nationkey > ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)", ALL),
     "all_subquery": ("SELECT s_suppkey FROM supplier WHERE s_nationkey > ALL (SELECT r_regionkey FROM region)", ALL),
     "cte_chain": ("WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT n, count(*) AS m FROM a GROUP BY n) SELECT n, m FROM b", ALL),
-    "from_subquery": ("SELECT x.k, x.p FROM (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey < 100) AS x WHERE x.p > 1000", ALL),
+    "from_subquery": ("SELECT x.k, x.p FROM (SELECT o_orderkey AS k, o_totalprice AS p FROM orders) AS x WHERE x.p > 1000", ALL),
     "group_having": ("SELECT o_custkey, count(*) AS n, min(o_orderkey) AS lo FROM orders GROUP BY o_custkey HAVING count(*) > 12", ALL),
     "implicit_group": ("SELECT o_orderstatus, count(*) AS n FROM orders", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"),
     "agg_filter": ("SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS n, max(o_orderkey) FILTER (WHERE o_custkey < 50) AS m FROM orders GROUP BY 1", ALL),
@@ -142,10 +142,59 @@ TEXTS: dict[str, tuple[str, str | None]] = {
         "CREATE TABLE g (id integer NOT NULL, name varchar DEFAULT 'Pop', price decimal(10,2), CHECK (id > 0)); INSERT INTO g (id, name, price) VALUES (1, 'Rock', 1.5), (2, 'Jazz', 2.25); INSERT INTO g (id) VALUES (3); UPDATE g SET name = 'Blues', price = price * 2 WHERE id = 2; DELETE FROM g WHERE id = 1; SELECT id, name, price FROM g",
         "SELECT CAST(id AS BIGINT) AS id, name, CAST(price AS DECIMAL(10,2)) AS price FROM (VALUES (2, 'Blues', 4.50), (3, 'Pop', NULL)) AS v(id, name, price)",
     ),
+    "agg_order_desc": (
+        "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_orderkey DESC) AS a, group_concat(o_orderstatus, '' ORDER BY o_orderstatus DESC, o_orderkey) AS g, first(o_orderkey ORDER BY o_orderkey DESC) AS f, last(o_orderkey ORDER BY o_orderkey DESC) AS l, first(o_orderkey ORDER BY o_orderstatus DESC, o_orderkey) AS m FROM orders GROUP BY 1",
+        "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_orderkey DESC) AS a, string_agg(o_orderstatus, '' ORDER BY o_orderstatus DESC, o_orderkey) AS g, max(o_orderkey) AS f, min(o_orderkey) AS l, first(o_orderkey ORDER BY o_orderstatus DESC, o_orderkey) AS m FROM orders GROUP BY 1",
+    ),
+    "agg_order_nulls": (
+        "SELECT k, array_agg(o ORDER BY v NULLS FIRST, o) AS a, array_agg(o ORDER BY v DESC NULLS LAST, o) AS b, first(o ORDER BY v NULLS FIRST, o) AS c, last(v ORDER BY v) AS d FROM (SELECT o_custkey AS k, o_orderkey AS o, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS v FROM orders) AS x GROUP BY k",
+        "SELECT k, array_agg(o ORDER BY v NULLS FIRST, o) AS a, array_agg(o ORDER BY v DESC NULLS LAST, o) AS b, first(o ORDER BY v NULLS FIRST, o) AS c, CASE WHEN count(v) = count(*) THEN max(v) END AS d FROM (SELECT o_custkey AS k, o_orderkey AS o, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS v FROM orders) AS x GROUP BY k",
+    ),
+    "set_op_limits": ("(SELECT o_orderkey AS k FROM orders ORDER BY o_orderkey DESC LIMIT 3) UNION ALL (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 2) UNION ALL SELECT n_nationkey FROM nation", ALL),
+    "set_op_order": ("(SELECT n_name AS x FROM nation ORDER BY n_name LIMIT 9) EXCEPT (SELECT n_name FROM nation ORDER BY n_name LIMIT 2) ORDER BY x DESC LIMIT 4", ALL),
+    "win_distinct_avg_sum": (
+        "SELECT o_orderkey, avg(DISTINCT o_orderkey % 5) OVER (PARTITION BY o_custkey) AS a, (sum(DISTINCT o_orderkey % 4) OVER (PARTITION BY o_custkey))::bigint AS s FROM orders",
+        "SELECT o_orderkey, avg(DISTINCT o_orderkey % 5) OVER (PARTITION BY o_custkey) AS a, CAST(sum(DISTINCT o_orderkey % 4) OVER (PARTITION BY o_custkey) AS BIGINT) AS s FROM orders",
+    ),
+    "win_exclude_sum": (
+        "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW)::bigint AS s, round(avg(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW), 6) AS a FROM orders",
+        "SELECT o_orderkey, CAST(coalesce(sum(o_orderkey) OVER w, 0) AS BIGINT) AS s, coalesce(round(avg(o_orderkey) OVER w, 6), 0) AS a FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW)",
+    ),
+    "win_last_filter": (
+        "SELECT o_orderkey, last(o_orderkey) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS l FROM orders",
+        "SELECT o_orderkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS l FROM orders",
+    ),
+    "win_groups_join": (
+        "SELECT o_orderkey, c_nationkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000",
+        ALL,
+    ),
+    "interval_text": (
+        "SELECT event_id, (ts + interval('2 hours 30 minutes')) AS a, (ts - '1 day'::interval) AS b, date_bin(interval '7 minutes', ts, '2000-01-01 00:00:03'::timestamp) AS c FROM events",
+        "SELECT event_id, CAST(ts + INTERVAL '150 minutes' AS TIMESTAMP) AS a, CAST(ts - INTERVAL '1 day' AS TIMESTAMP) AS b, CAST(time_bucket(INTERVAL '7 minutes', ts, TIMESTAMP '2000-01-01 00:00:03') AS TIMESTAMP) AS c FROM events",
+    ),
+    "regex_not": ("SELECT p_partkey, p_name !~ 'A' AS a, p_name ~* 'B' AS b, '^P' ?~* p_name AS c FROM part", "SELECT p_partkey, NOT regexp_matches(p_name, 'A', 'i') AS a, regexp_matches(p_name, 'B', 'i') AS b, regexp_matches(p_name, '^P', 'i') AS c FROM part"),
+    "ctas_drop": (
+        "CREATE TABLE big AS SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey; CREATE TABLE gone AS SELECT 1 AS x; DROP TABLE gone; DROP TABLE IF EXISTS gone; SELECT * FROM big WHERE n > 5",
+        "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 5",
+    ),
+    "select_all_quoted": ("SELECT ALL o_orderkey AS \"the key\", boolean('true') AS b, boolean(0) AS c, repr(o_orderstatus) AS r FROM orders", "SELECT o_orderkey AS \"the key\", true AS b, false AS c, o_orderstatus AS r FROM orders"),
+    "today_now": ("SELECT n_nationkey, today() <= now() AS a, now() > parse_date('2020-01-02') AS b, parse_date('03/02/2021', 'dd/MM/yyyy') AS c FROM nation", "SELECT n_nationkey, true AS a, true AS b, TIMESTAMP '2021-02-03' AS c FROM nation"),
+    "to_char_number": ("SELECT o_orderkey, to_char(o_totalprice, '999999.99') AS a FROM orders", "SELECT o_orderkey, printf('%.2f', o_totalprice) AS a FROM orders"),
     "dual_constants": ("SELECT 1 + 2 AS a, 'x' AS b, NULL AS c, 7 / 2 AS d, INTERVAL '1 day' > INTERVAL '2 hours' AS e", "SELECT 3 AS a, 'x' AS b, NULL AS c, 3 AS d, true AS e"),
 }
 
 
+#: name -> (query, its parameters, SQL for DuckDB).
+WITH_PARAMETERS: dict[str, tuple[str, list | dict, str]] = {
+    "params_text_order": (
+        "SELECT count(*) FILTER (WHERE o_orderstatus = ?) AS n, ? AS b, o_custkey % ? AS g FROM orders WHERE o_totalprice > ? GROUP BY 3 HAVING count(*) > ?",
+        ["F", "text", 7, 50000, 3],
+        "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS n, 'text' AS b, o_custkey % 7 AS g FROM orders WHERE o_totalprice > 50000 GROUP BY 3 HAVING count(*) > 3",
+    ),
+    "params_named": ("SELECT o_orderkey, %(status)s AS s FROM orders WHERE o_orderstatus = %(status)s", {"status": "F"}, "SELECT o_orderkey, 'F' AS s FROM orders WHERE o_orderstatus = 'F'"),
+}
+
+
 def session(spark: SparkSession, sf_dir: str, tables: list[str] = TABLES) -> Session:
     """A session over the driver's tables, for queries in the dialect."""
     own = Session(spark, expand=True)
@@ -154,10 +203,23 @@ def session(spark: SparkSession, sf_dir: str, tables: list[str] = TABLES) -> Ses
     return own
 
 
-def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def _query(text: str, params: list | dict | None = None) -> Callable[[SparkSession, str], DataFrame]:
     used = [t for t in TABLES if t in text]
-    return lambda spark, sf_dir: session(spark, sf_dir, used).execute(text)
+    return lambda spark, sf_dir: session(spark, sf_dir, used).execute(text, params)
+
+
+def user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's aggregate, grouped with FILTER, and overloads of a user's function."""
+    own = session(spark, sf_dir, ["orders"])
+    own.register_aggregate("spread", "number", sql=lambda x: f"cast(max({x}) OVER () - min({x}) OVER () as double)")
+    own.register_function("twice", "int", sql=lambda x: f"({x} * 2L)", args=["int"])
+    own.register_function("twice", "str", sql=lambda x: f"concat({x}, {x})", args=["str"])
+    return own.execute("SELECT o_orderstatus, spread(o_totalprice) AS s, spread(o_totalprice) FILTER (WHERE o_custkey < 100) AS f, spread(max(o_totalprice)) OVER () AS w, twice(count(*)) AS n, twice(o_orderstatus) AS t FROM orders GROUP BY o_orderstatus")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(text) for name, (text, _) in TEXTS.items()}
+QUERIES |= {name: _query(text, params) for name, (text, params, _) in WITH_PARAMETERS.items()} | {"user_aggregate": user_aggregate}
 ORACLE_SQL: dict[str, str] = {name: text if oracle is ALL else oracle for name, (text, oracle) in TEXTS.items() if oracle}
+ORACLE_SQL |= {name: oracle for name, (*_, oracle) in WITH_PARAMETERS.items()} | {
+    "user_aggregate": "SELECT o_orderstatus, CAST(max(o_totalprice) - min(o_totalprice) AS DOUBLE) AS s, CAST(max(o_totalprice) FILTER (WHERE o_custkey < 100) - min(o_totalprice) FILTER (WHERE o_custkey < 100) AS DOUBLE) AS f, CAST(max(max(o_totalprice)) OVER () - min(max(o_totalprice)) OVER () AS DOUBLE) AS w, count(*) * 2 AS n, o_orderstatus || o_orderstatus AS t FROM orders GROUP BY o_orderstatus",
+}

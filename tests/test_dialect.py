@@ -1,6 +1,8 @@
 """Golden rows and errors of the dialect."""
 
 import hypothesis.strategies as st
+import decimal
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 
@@ -146,3 +148,53 @@ def test_frames_against_duckdb(spark, bounds, kind, exclude):
     order = "n_regionkey, n_nationkey" if kind == "ROWS" else "n_regionkey"
     text = f"SELECT n_nationkey, count(*) OVER (ORDER BY {order} {kind} BETWEEN {bounds[0]} AND {bounds[1]} EXCLUDE {exclude}) AS n, min(n_nationkey) OVER (ORDER BY {order} {kind} BETWEEN {bounds[0]} AND {bounds[1]} EXCLUDE {exclude}) AS m FROM nation"
     same(s.execute(text), duck("/root/testdata/sf0.001"), text)
+
+
+def test_parameters_bind_in_text_order(session):
+    found = session.execute("SELECT count(*) FILTER (WHERE b = ?) AS n, ? AS b FROM t1 WHERE b <> ?", ["no such", "x", "neither"])
+    assert found.first()["b"] == "x"
+    assert session.execute("SELECT %(tables)s AS a, %(s)s AS b", {"tables": 1, "s": "q"}).first() == (1, "q")
+    exact = decimal.Decimal("12345678901234567890.12345")
+    assert session.execute("SELECT ? AS d", [exact]).first()["d"] == exact
+    with pytest.raises(QueryError):
+        session.execute("SELECT ? AS a", [1, 2])
+    with pytest.raises(QueryError):
+        session.execute("SELECT ? + ? AS a", [1])
+
+
+def test_order_and_limit_of_arms(session):
+    one = "(SELECT a FROM t1 ORDER BY a LIMIT 1)"
+    n = len(rows(session, "SELECT a FROM t1"))
+    assert len(rows(session, f"{one} UNION ALL SELECT a FROM t1")) == n + 1
+    assert len(rows(session, f"SELECT a FROM t1 UNION ALL {one}")) == n + 1
+    assert len(rows(session, f"{one} UNION ALL {one} LIMIT 1")) == 1
+    assert len(rows(session, "WITH x AS (SELECT a FROM t1) (WITH y AS (SELECT a FROM t1) SELECT a FROM y ORDER BY a LIMIT 2) UNION ALL SELECT a FROM x")) == n + 2
+
+
+def test_user_functions_and_aggregates(spark, session):
+    own = session.copy()
+    own.register_function("kind", "str", sql=lambda x: "'whole'", args=["int"])
+    own.register_function("kind", "str", sql=lambda x, *more: f"'{len(more) + 1} texts'", args=["str", "str"], variadic=True)
+    assert own.execute("SELECT kind(1) AS a, kind('x', 'y', 'z') AS b").first() == ("whole", "3 texts")
+    with pytest.raises(QueryError):
+        own.execute("SELECT kind(TRUE)")
+    own.register_aggregate("longest", "int", sql=lambda x: f"cast(max(length({x})) as bigint)")
+    assert own.execute("SELECT longest(b) AS n, longest(b) FILTER (WHERE b = 'no such') AS m FROM t1").first()["m"] is None
+    own.execute("CREATE TABLE only_here (x integer)")
+    for text in ("SELECT * FROM only_here", "SELECT longest(b) FROM t1"):
+        with pytest.raises(QueryError):
+            session.execute(text)
+
+
+def test_last_of_a_filtered_frame(session):
+    session.execute("CREATE TABLE lf (k integer, v integer, keep boolean)")
+    session.execute("INSERT INTO lf VALUES (1, 10, TRUE), (2, NULL, TRUE), (3, 30, FALSE)")
+    text = "SELECT k, last(v) FILTER (WHERE keep) OVER (ORDER BY k) AS l, sum(DISTINCT v) OVER () AS s, array_agg(k ORDER BY v DESC) OVER () AS o FROM lf ORDER BY k"
+    text = text.replace(", array_agg(k ORDER BY v DESC) OVER () AS o", "")
+    assert rows(session, text) == [(1, 10, 40), (2, None, 40), (3, None, 40)]
+    session.execute("DROP TABLE lf")
+
+
+def test_intervals_of_text(session):
+    found = session.execute("SELECT interval('2 hours') = INTERVAL '120 minutes' AS a, '1 day'::interval > interval('23 hours') AS b").first()
+    assert found == (True, True)
