@@ -25,9 +25,9 @@ from tessera.llm.common import map_batches, texts
 from tessera.llm.token_counts import byte_symbols
 
 #: Bytes of each of the two generations of a worker's cache of chunks, and of an entry's objects.
-CACHE, ENTRY = 12 << 20, 350
-#: Bytes of text whose new words are merged together.
-BATCH = 1 << 19
+CACHE, ENTRY = 12 << 20, 200
+#: Bytes of text whose new words are merged together; identifiers that are decoded at once.
+BATCH, DECODED = 1 << 19, 1 << 16
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -40,7 +40,12 @@ class BatchCodec:
             spec = json.load(file)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.tokens = {i: token.encode() for token, i in vocab.items()}
+        tokens = {i: token.encode() for token, i in vocab.items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        # every token with a space behind it, one after the other, and where each begins
+        listed = [tokens.get(i, b"") + b" " for i in range(max(tokens) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(listed), np.uint8)
+        self.token_length = np.array([len(t) for t in listed], np.int64)
+        self.token_start = np.cumsum(self.token_length) - self.token_length
         self.size = max(vocab.values()) + 1
         self.byte_id = np.array([vocab[c] for c in byte_symbols()], np.int64)
         self.last_id = np.array([vocab[c + suffix] for c in byte_symbols()], np.int64)
@@ -50,17 +55,18 @@ class BatchCodec:
             [a + b for a, b in pairs]))
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.new = keys[order], order, new[order]
+        # the narrowest integers that hold a key, so that more of the table stays near the processor
+        self.key_type = np.uint32 if self.size <= 1 << 16 else np.int64
+        self.keys, self.ranks, self.new = keys[order].astype(self.key_type), order, new[order]
         splits = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(splits.replace(r"\s", r"\p{White_Space}"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: t.encode() for t, i in self.special.items()}
         found = sorted(self.special, key=len, reverse=True)
         self.splitter = regex.compile(f"({'|'.join(map(regex.escape, found))})") if found else None
         self.space = regex.compile(r"\p{White_Space}+")
-        #: chunk without white space -> (its identifiers' bytes, its decoded bytes)
-        self.known: dict[str | int, tuple[bytes, bytes]] = {}
-        self.old: dict[str | int, tuple[bytes, bytes]] = {}
+        #: chunk without white space, or a special string's identifier -> its identifiers' bytes
+        self.known: dict[str | int, bytes] = {}
+        self.old: dict[str | int, bytes] = {}
         self.held = 0
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +80,7 @@ class BatchCodec:
         symbols[ends] = self.last_id[flat[ends]]
         done_owner, done_symbols = [], []
         while len(symbols):
-            keys = symbols[:-1] * self.size + symbols[1:]
+            keys = (symbols[:-1] * self.size + symbols[1:]).astype(self.key_type)
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             ok = (self.keys[at] == keys) & (owner[:-1] == owner[1:])
             rank = np.append(np.where(ok, self.ranks[at], NO_PAIR), NO_PAIR)
@@ -115,27 +121,19 @@ class BatchCodec:
             return [chunk[:-1], chunk[-1]]
         return self.words.findall(chunk)
 
-    def learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes]]:
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Entries of the cache for new chunks."""
         split = [self.pieces(c) for c in chunks]
         words = list({w for ws in split for w in ws})
         entries = {}
         if words:
             symbols, cuts = self.merge(words)
-            ids, tokens = symbols.tobytes(), list(map(self.tokens.__getitem__, symbols.tolist()))
-            start = 0
-            for word, end in zip(words, cuts.tolist(), strict=True):
-                entries[word] = (ids[4 * start : 4 * end], b" ".join(tokens[start:end]))
-                start = end
-        return {
-            chunk: entries[ws[0]] if len(ws) == 1
-            else (b"".join([entries[w][0] for w in ws]), b" ".join([entries[w][1] for w in ws]))
-            for chunk, ws in zip(chunks, split, strict=True)
-        }
+            ids, ends = symbols.tobytes(), (4 * cuts).tolist()
+            entries = {word: ids[start:end] for word, start, end in zip(words, [0, *ends], ends, strict=False)}
+        return {chunk: entries[ws[0]] if len(ws) == 1 else b"".join([entries[w] for w in ws]) for chunk, ws in zip(chunks, split, strict=True)}
 
-    def encode_batch(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text: its identifiers as little-endian 32-bit integers; the text that they
-        decode to (the vocabulary has no decoder: tokens joined by spaces)."""
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """Each text's identifiers as little-endian 32-bit integers."""
         split: list[list[str | int]] = []
         for text in batch:
             chunks: list = []
@@ -147,25 +145,47 @@ class BatchCodec:
             split.append(chunks)
         if self.held > CACHE:
             self.old, self.known, self.held = self.known, {}, 0
-        fresh, before = [], len(self.known)
-        for chunk in {c for chunks in split for c in chunks}.difference(self.known):
+        fresh, added = [], {}
+        for chunk in set().union(*split).difference(self.known):
             if chunk in self.old:
-                self.known[chunk] = self.old[chunk]
+                added[chunk] = self.old[chunk]
             elif isinstance(chunk, int):
-                self.known[chunk] = (np.array([chunk], "<u4").tobytes(), self.tokens[chunk])
+                added[chunk] = np.array([chunk], "<u4").tobytes()
             else:
                 fresh.append(chunk)
-        learned = self.learn(fresh)
-        self.known |= learned
-        self.held += ENTRY * (len(self.known) - before) + sum(len(k) + len(i) + len(t) for k, (i, t) in learned.items())
-        out = []
-        for chunks in split:
-            found = list(map(self.known.__getitem__, chunks))
-            out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])))
+        added |= self.learn(fresh)
+        self.known |= added
+        self.held += ENTRY * len(added) + sum(map(len, fresh)) + sum(map(len, added.values()))
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+
+    def decode(self, encoded: list[bytes]) -> list[bytes]:
+        """The text of each list of identifiers: tokens joined by spaces, as the vocabulary has no
+        decoder. All identifiers lie in one flat array and are gathered from the flat array of
+        tokens, a bounded number at once."""
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        last = np.cumsum([len(e) // 4 for e in encoded])
+        ends, parts, base = np.zeros(len(encoded), np.int64), [], 0
+        for low in range(0, len(ids), DECODED):
+            some = ids[low : low + DECODED]
+            lengths = self.token_length[some]
+            stops = np.cumsum(lengths)
+            places = np.repeat(self.token_start[some] - stops + lengths, lengths)
+            places += np.arange(len(places))
+            parts.append(self.token_bytes[places].tobytes())
+            here = slice(*np.searchsorted(last, [low, low + len(some)], side="right"))
+            ends[here] = base + stops[last[here] - low - 1]
+            base += len(parts[-1])
+        whole, out, start = b"".join(parts), [], 0
+        for end in ends.tolist():
+            # the last space goes; a text without identifiers ends where it begins
+            out.append(whole[start : max(start, end - 1)])
+            start = end
         return out
 
-    def decode(self, ids: bytes) -> str:
-        return b" ".join([self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode()
+    def encode_batch(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each text: its identifiers; the text that they decode to."""
+        encoded = self.encode(batch)
+        return list(zip(encoded, self.decode(encoded), strict=True))
 
 
 @lru_cache(maxsize=2)
