@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import types as t
 
 #: Names in DDL and casts -> dialect type -> Spark type.
@@ -18,16 +21,32 @@ SPARK = {
 NUMBERS = ("int", "num", "dec")
 
 
+@dataclass
+class Own:
+    """A type of the user's: stored as the type ``like``; ``cast`` builds SQL from a value's SQL and
+    type; attributes: name -> (builder of SQL from the value's SQL, type)."""
+
+    like: str
+    cast: Callable[[str, str], str] | None = None
+    attributes: dict[str, tuple[Callable[[str], str], str]] = field(default_factory=dict)
+
+
+#: Types that users have registered, in any session, and all names of them.
+OWN: dict[str, Own] = {}
+OWN_NAMES: dict[str, str] = {}
+
+
 def of_name(name: str) -> str | None:
     if name.endswith("[]"):
         inner = of_name(name[:-2])
         return inner and f"arr:{inner}"
-    return NAMES.get(name.lower())
+    return NAMES.get(name.lower()) or OWN_NAMES.get(name.lower())
 
 
 def to_spark(kind: str, size: tuple[int, ...] = ()) -> str:
     if kind.startswith("arr:"):
         return f"array<{to_spark(kind[4:])}>"
+    kind = OWN[kind].like if kind in OWN else kind
     if kind == "dec" and size:
         return f"decimal({size[0]},{size[1] if len(size) > 1 else 0})"
     return SPARK[kind]

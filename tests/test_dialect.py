@@ -186,6 +186,27 @@ def test_user_functions_and_aggregates(spark, session):
             session.execute(text)
 
 
+def test_operators_types_and_computed_columns(session):
+    own = session.copy()
+    own.register_operator("*", ["str", "int"], "str", lambda x, n: f"repeat({x}, cast({n} as int))")
+    own.register_operator("-", ["str"], "str", lambda x: f"reverse({x})")
+    assert own.execute("SELECT 'ab' * 2 AS a, -'ab' AS b, 2 * 3 AS c").first() == ("abab", "ba", 6)
+    with pytest.raises(QueryError):
+        session.execute("SELECT 'ab' * 2")
+    own.register_type("cents", "integer", ("penny",), lambda x, k: f"round({x} * 100)", {"whole": (lambda x: f"({x} div 100)", "int")})
+    own.register_operator("+", ["cents", "cents"], "cents", lambda x, y: f"({x} + {y})")
+    own.execute("CREATE TABLE purse (k integer, v cents); INSERT INTO purse VALUES (1, 2.5), (2, NULL), (3, 0.25::penny)")
+    assert rows(own, "SELECT k, v, v.whole, (v + v).whole FROM purse ORDER BY k") == [(1, 250, 2, 5), (2, None, None, None), (3, 25, 0, 0)]
+    with pytest.raises(QueryError):
+        own.execute("SELECT v.half FROM purse")
+    with pytest.raises(QueryError):
+        own.register_type("text", "str")
+    own.computed_column("purse", "double", "k * 2").computed_column("purse", "v", "CASE WHEN k = 2 THEN 7::cents END")
+    assert rows(own, "SELECT k, double, v FROM purse WHERE double > 2 ORDER BY k") == [(2, 4, 700), (3, 6, 25)]
+    own.execute("INSERT INTO purse VALUES (4, 1); DELETE FROM purse WHERE k < 3; UPDATE purse SET v = 3::cents WHERE k = 3")
+    assert rows(own, "SELECT * FROM purse ORDER BY k") == [(3, 300, 6), (4, 100, 8)]
+
+
 def test_last_of_a_filtered_frame(session):
     session.execute("CREATE TABLE lf (k integer, v integer, keep boolean)")
     session.execute("INSERT INTO lf VALUES (1, 10, TRUE), (2, NULL, TRUE), (3, 30, FALSE)")
