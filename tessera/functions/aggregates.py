@@ -98,6 +98,22 @@ def grouped(name: str, args: list[str], kinds: list[str], distinct: bool, where:
 quoted_comma = "','"
 
 
+def excluding(name: str, value: str, exclude: str, over: str, peer: str) -> str:
+    """SQL of count, sum or avg of integers over a frame less its excluded rows, as a difference of
+    sums over windows; ``peer`` is the window of the current row's peers."""
+
+    def less(own: str, total: str) -> str:
+        gone = {"current row": own, "group": f"{total} OVER ({peer})", "ties": f"({total} OVER ({peer}) - {own})"}[exclude]
+        return f"({total} OVER ({over}) - {gone})"
+
+    n = less(f"if({value} IS NULL, 0, 1)", f"count({value})")
+    # a sum over no value is zero here, as nulls count as zero
+    sums = less(f"coalesce({value}, 0)", f"sum(coalesce(cast({value} as bigint), 0))")
+    if name == "count":
+        return f"cast({n} as bigint)"
+    return f"cast({sums} as bigint)" if name == "sum" else f"coalesce(cast(try_divide({sums}, {n}) as double), 0D)"
+
+
 def over_frame(name: str, rows: str, args: list[str], kinds: list[str], where: bool, distinct: bool) -> str:
     """SQL of a function over the collected rows of a frame (structs with ``v`` and, under FILTER,
     ``keep``)."""

@@ -150,6 +150,24 @@ def test_frames_against_duckdb(spark, bounds, kind, exclude):
     same(s.execute(text), duck("/root/testdata/sf0.001"), text)
 
 
+@pytest.mark.parametrize("exclude", ["CURRENT ROW", "GROUP", "TIES"])
+@pytest.mark.parametrize("kind", ["ROWS", "RANGE", "GROUPS"])
+def test_sums_of_frames_with_exclusions(spark, kind, exclude):
+    s = Session(spark)
+    table = "(VALUES (1, 1, 5), (2, 1, NULL), (3, 2, -7), (4, 2, 9), (5, 2, NULL), (6, 4, 1), (7, 5, NULL), (8, 5, NULL)) AS t(id, k, v)"
+    s.register("t", spark.sql(f"SELECT cast(id as bigint) AS id, cast(k as bigint) AS k, v FROM {table}"))
+    columns, own = [], []
+    for i, (low, high) in enumerate([("1 PRECEDING", "CURRENT ROW"), ("CURRENT ROW", "1 FOLLOWING"), ("UNBOUNDED PRECEDING", "UNBOUNDED FOLLOWING"), ("1 FOLLOWING", "2 FOLLOWING")]):
+        over = f"OVER (ORDER BY {'id' if kind == 'ROWS' else 'k'} {kind} BETWEEN {low} AND {high} EXCLUDE {exclude})"
+        kept = f"FILTER (WHERE id <> 4) {over}"
+        columns += [f"sum(v) {over} AS s{i}", f"avg(v) {over} AS a{i}", f"count(*) {over} AS n{i}", f"count(v) {over} AS c{i}", f"sum(v) {kept} AS f{i}", f"count(*) {kept} AS g{i}"]
+    for text in columns:
+        call, name = text.rsplit(" AS ", 1)
+        own.append(f"CAST(coalesce({call}, 0) AS {'DOUBLE' if name[0] == 'a' else 'BIGINT'}) AS {name}")
+    con = duck("/root/testdata/sf0.001")
+    same(s.execute(f"SELECT id, {', '.join(columns)} FROM t"), con, f"SELECT CAST(id AS BIGINT) AS id, {', '.join(own)} FROM {table}")
+
+
 def test_parameters_bind_in_text_order(session):
     found = session.execute("SELECT count(*) FILTER (WHERE b = ?) AS n, ? AS b FROM t1 WHERE b <> ?", ["no such", "x", "neither"])
     assert found.first()["b"] == "x"
