@@ -515,6 +515,83 @@ def test_hmm_recursions():
     assert np.isclose(whole[1][1].sum(), sum(lengths) - len(lengths)) and np.isclose(whole[1][0].sum(), len(lengths))
 
 
+def _baum_welch(model, sequences):
+    """Expected counts by plain recursions, a token at a time."""
+    states, classes = model.by_class.shape[1], len(model.by_class)
+    start, moves, emits, score = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes)), 0.0
+    for seq in sequences:
+        alpha, scale = [], []
+        for t, c in enumerate(seq):
+            now = (model.start if t == 0 else alpha[-1] @ model.moves) * model.by_class[c]
+            scale.append(now.sum())
+            alpha.append(now / scale[-1])
+        beta = [np.ones(states)]
+        for t in range(len(seq) - 1, 0, -1):
+            beta.insert(0, model.moves @ (model.by_class[seq[t]] * beta[0]) / scale[t])
+        start += alpha[0] * beta[0]
+        for t, c in enumerate(seq):
+            emits[:, c] += alpha[t] * beta[t]
+            if t:
+                moves += np.outer(alpha[t - 1], model.by_class[c] * beta[t] / scale[t]) * model.moves
+        score += np.log(scale).sum()
+    return start, moves, emits, score
+
+
+def test_hmm_end_to_end_against_brute_force(spark, monkeypatch):
+    """The trained model and every score against plain recursions over whole texts."""
+    import pyarrow as pa
+
+    import tessera.llm.hmm_lm as lm
+
+    random = np.random.default_rng(3)
+    lexicon = ["".join(random.choice(list("abcdeé"), random.integers(4, 9))) for _ in range(20_000)]
+    # more words than have classes of their own
+    some = lambda n: np.where(random.random(n) < 0.75, random.integers(0, 20_000, n), random.pareto(0.8, n).clip(0, 4000))
+    texts = [" ".join(lexicon[int(i)] for i in some(random.integers(0, 110))) for _ in range(170)] + [None, "", " never\tSeen ", "A a"]
+    rows = list(enumerate(texts))
+    trains = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    split = lambda t: (t or "").lower().split()
+    counts = Counter(w for i, t in rows if trains(i) for w in [*split(t), "\n"])
+    kept, real = {}, lm.train
+
+    def spy(training, vocabulary, **more):
+        kept["vocabulary"], kept["model"] = vocabulary, real(training, vocabulary, **more)
+        return kept["model"]
+
+    monkeypatch.setattr(lm, "train", spy)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for frequent in (50, 1 << 18):
+        found = {r.doc_id: r for r in lm.hmm_scores(table, frequent=frequent).collect()}
+        assert set(found) == set(range(len(rows)))
+        coded = {i: kept["vocabulary"].coded(pa.array([t or ""]))[2].tolist() for i, t in rows}
+        learned = [coded[i] for i, _ in rows if trains(i)]
+        model, before = lm.Model.first(np.concatenate(learned)), None
+        for _ in range(lm.START_ROUNDS):
+            model = lm.Model(*_baum_welch(model, learned)[:3])
+        for _ in range(lm.ROUNDS):
+            *new, score = _baum_welch(model, learned)
+            model, score = lm.Model(*new), score / sum(map(len, learned))
+            if before is not None and score - before < lm.SETTLED:
+                break
+            before = score
+        for name in ("start", "moves", "by_class"):
+            assert np.allclose(getattr(kept["model"], name), getattr(model, name), rtol=1e-5, atol=1e-9)
+        # a class is one word's own, or shares its weight by counts plus one, and one for the unseen
+        of = {w: c for i, t in rows for w, c in zip([*split(t), "\n"], coded[i], strict=True)}
+        mass = Counter()
+        for w, c in counts.items():
+            mass[of[w]] += c + 1
+        alone = {c for c in mass if c < lm.OWN or c == lm.OWN + lm.ENDINGS}
+        assert all(sum(of[w] == c for w in counts) == 1 for c in alone) and any(c not in alone for c in mass)
+        for i, t in rows:
+            total, state = 0.0, None
+            for w, c in zip([*split(t), "\n"], coded[i], strict=True):
+                state = (model.start if state is None else state @ model.moves) * model.by_class[c]
+                total += np.log10(state.sum()) + (0 if c in alone else np.log10((counts[w] + 1) / (mass[c] + 1)))
+                state = state / state.sum()
+            assert np.isclose(found[i].score, total, rtol=1e-5), (i, found[i].score, total)
+
+
 def test_hmm_scores(spark, docs):
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
     rows = table.collect()
