@@ -14,8 +14,10 @@ classes and verified on their whole sets.
 Shingles in the prefixes of more than ``LISTED`` classes are not paired that way, as pairs would
 grow with the square of the classes. The most typical group of such a shingle is its pivot: all
 others are verified against it, a number of pairs linear in the postings. Members linked to it need
-no pair among each other for the components. Where many are apart from it, the member that differs
-least from all others takes its place. What is still apart from its pivot is compared with the
+no pair among each other for the components. Where some are apart from it, members go whose
+elements stand in no other set around the pivots, so many that they can be linked to none. Where many
+are apart still, the member that differs least from the elements that most of them have takes the
+pivot's place. What is still apart from its pivot is compared with the
 pivot's other members: where few are apart, pair by pair within the bounds of the triangle
 inequality; where many are, by a prefix join on their differences from the pivot. Two sets that are
 linked while one lies beyond the threshold from the pivot must share a part of these differences
@@ -47,6 +49,9 @@ SIZE, PERCENT = 5, 75
 #: Classes of a shingle up to which they are compared pair by pair, and members apart from a pivot
 #: up to which they are; beyond, around pivots and by differences. Both ways are exact.
 LISTED = 16
+#: Members of a pivot, about, whose majority says where its better centre is. Any centre gives the
+#: same components; all members are candidates for it, and all are verified against it.
+CENTRED = 64
 #: Share of the hash range whose shingles are ordered by document frequency. More than the share of
 #: a set that its prefix needs, so that a prefix holds the rarer ones of them alone.
 CUT_SHARE = 0.36
@@ -207,13 +212,16 @@ def _linked(n: Column, d: Column, percent: int) -> Column:
     return (100 + percent) * d <= (100 - percent) * n
 
 
+def _with_set(rows: DataFrame, sets: DataFrame, x: str) -> DataFrame:
+    """Adds ``set_x`` of the classes ``x``. Only sets that these have are shuffled."""
+    wanted = cut(rows.select(F.col(x).alias("class")).distinct())
+    own = joined(sets, wanted, "class", "left_semi").select(F.col("class").alias(x), F.col("set").alias(f"set_{x}"))
+    return rows.join(own, x)
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``set_a`` and ``set_b``. Only sets that a side has are shuffled."""
-    for x in "ab":
-        wanted = cut(pairs.select(F.col(x).alias("class")).distinct())
-        own = joined(sets, wanted, "class", "left_semi").select(F.col("class").alias(x), F.col("set").alias(f"set_{x}"))
-        pairs = pairs.join(own, x)
-    return pairs
+    """Adds ``set_a`` and ``set_b``."""
+    return _with_set(_with_set(pairs, sets, "a"), sets, "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,13 +244,18 @@ def _fits(percent: int) -> Column:
     return (F.col("comp_x") != F.col("comp_y")) & _linked(n, F.abs(F.col("n_b_x") - F.col("n_b_y")), percent) & _linked(n, F.abs(F.col("d_x") - F.col("d_y")), percent)
 
 
+def _posted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b`` and each ``token`` that one of both sets has alone."""
+    diff = F.concat(F.array_except("set_b", "set_a"), F.array_except("set_a", "set_b"))
+    return _with_sets(pairs.select("a", "b"), sets).select("a", "b", F.explode(diff).alias("token"))
+
+
 def _differing(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``a``, ``b``, ``token``, ``df`` and ``weight``: the elements in which b's set differs from
     a's and others' do too, how many of a's members do, and how many elements the row stands for:
     those that differ for the same members of a (a passage's) are one. Second, the table to discard
     after it."""
-    diff = F.concat(F.array_except("set_b", "set_a"), F.array_except("set_a", "set_b"))
-    posted = cut(_with_sets(pairs.select("a", "b"), sets).select("a", "b", F.explode(diff).alias("token")))
+    posted = cut(_posted(pairs, sets))
     members = F.bit_xor(F.xxhash64("b", "a"))
     beside = posted.groupBy("a", "token").agg(F.count("*").alias("df"), members.alias("members")).where("df > 1")
     met = posted.join(beside, ["a", "token"]).groupBy("a", "b", "df", "members").agg(F.count("*").alias("weight"))
@@ -250,17 +263,24 @@ def _differing(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _centred(many: DataFrame, sets: DataFrame) -> DataFrame:
-    """For pivots with many members apart: ``old``, the member ``a`` that differs least from all of
-    them together, if it does so less than the pivot, and each other member ``b``. The sum of a
-    member's differences follows from how many members share each element of its own."""
-    differing, scratch = _differing(many, sets)
-    common = differing.groupBy("a", "b").agg(F.sum((F.col("df") - 1) * F.col("weight")).alias("common"))
-    beyond = (F.col("members") - 1) * F.col("d") - 2 * F.coalesce("common", F.lit(0))
-    sums = many.join(common, ["a", "b"], "left").select("a", "b", beyond.alias("beyond"))
-    centre = sums.groupBy("a").agg(F.min(F.struct("beyond", "b")).alias("least")).where("least.beyond < 0").select("a", F.col("least.b").alias("centre"))
+    """For pivots with many members apart: ``old``, the member ``a`` that is nearest to what most
+    members have, if it is nearer than the pivot, and each other member ``b``. Most means more than
+    half of the members, or, of more than ``CENTRED`` members, of those with the least hashes, which
+    are much the same for pivots of much the same members."""
+    taken = cut(many.where((F.xxhash64("b") / 2.0**64 + 0.5) * F.col("members") < CENTRED).select("a", "b"))
+    half = taken.groupBy("a").agg((F.count("*") / 2).alias("half"))
+    usual = _posted(taken, sets).groupBy("a", "token").agg(F.count("*").alias("df")).join(half, "a").where("df > half")
+    usual = cut(usual.groupBy("a").agg(F.collect_list("token").alias("usual")))
+    middle = F.concat(F.array_except("set_a", "usual"), F.array_except("usual", "set_a"))
+    middle = cut(_with_set(usual, sets, "a").select("a", middle.alias("middle")))
     members = many.select("a", "b").unionByName(many.select("a", F.col("a").alias("b")).distinct())
+    members = cut(joined(members, middle.select("a"), "a", "left_semi"))
+    near = joined(_with_set(members, sets, "b"), middle, "a", "inner")
+    beyond = F.size("set_b") + F.size("middle") - 2 * F.size(F.array_intersect("set_b", "middle"))
+    near = near.select("a", F.struct(beyond.alias("beyond"), (F.col("b") != F.col("a")).alias("other"), "b").alias("near"))
+    centre = near.groupBy("a").agg(F.min("near").alias("near")).where("near.other").select("a", F.col("near.b").alias("centre"))
     out = cut(members.join(centre, "a").where("b <> centre").select(F.col("a").alias("old"), F.col("centre").alias("a"), "b"))
-    discard(scratch)
+    discard(taken, usual, middle, members)
     return out
 
 
@@ -295,11 +315,33 @@ def _placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     comp = components(found)
     of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
     met = pairs.join(of("b"), "b", "left").join(of("a"), "a", "left").withColumn("comp", F.coalesce("b_comp", "b"))
-    met = cut(met.select("a", "b", "n_a", "n_b", "d", "comp", (F.col("comp") == F.coalesce("a_comp", "a")).alias("held")))
+    return _counted(cut(met.select("a", "b", "n_a", "n_b", "d", "comp", (F.col("comp") == F.coalesce("a_comp", "a")).alias("held"))))
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """Adds ``apart`` and ``members``, for pivots where there may be a link yet to find."""
     apart = met.groupBy("a").agg(F.count_if(~F.col("held")).alias("apart"), F.count("*").alias("members")).where("apart > 0 AND members > 1")
     return cut(met.join(apart, "a"))
 
 
+def _with_partners(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``placed`` without the members that can be linked to no other class of it, as too many of
+    their elements stand in no other. Those that a member shares with its nearest pivot do stand in
+    another, and need no row."""
+    pivots = cut(placed.select(F.col("a").alias("class")).distinct())
+    near = placed.groupBy("b").agg(F.min(F.struct("d", "a"))["a"].alias("a"))
+    near = cut(joined(near, pivots, near["b"] == pivots["class"], "left_anti"))
+    own = _with_sets(near, sets).select(F.col("b").alias("class"), F.explode(F.array_except("set_b", "set_a")).alias("token"))
+    own = own.unionByName(joined(sets, pivots, "class", "left_semi").select("class", F.explode("set").alias("token")))
+    single = own.groupBy("token").agg(F.count("*").alias("df"), F.max("class").alias("b")).where("df = 1")
+    single = cut(single.groupBy("b").agg(F.count("*").alias("single")))
+    may = F.expr(f"n_b - coalesce(single, 0) >= (n_b * {percent} + 99) div 100")
+    met = cut(joined(placed.drop("apart", "members"), single, "b", "left").where(may).drop("single"))
+    out = _counted(met)
+    discard(pivots, near, single, met)
+    return out
+
+
 def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` of members of one pivot, in different components so far, that may be linked."""
     few = placed.where(F.col("apart") <= LISTED)
@@ -348,19 +390,21 @@ def links(docs: DataFrame, info: DataFrame, size: int, percent: int, id_col: str
     discard(pairs)
     linked = lambda df: df.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = linked(first)
-    first = first.where("star").drop("star")
-    placed = _placed(first, found)
+    placed = _placed(first.where("star").drop("star"), found)
+    placed, before = _with_partners(placed, sets, percent), placed
+    discard(before)
     centred = _centred(placed.where(F.col("apart") > LISTED), sets)
-    again = None
+    again = before = None
     if not centred.isEmpty():
-        again = _verified(cut(centred.select("a", "b").distinct().withColumn("star", F.lit(True))), sets, percent).drop("star")
+        again = _verified(cut(centred.select("a", "b").distinct().withColumn("star", F.lit(True))), sets, percent)
         found = found.unionByName(linked(again))
-        rest = first.join(centred.select(F.col("old").alias("a")).distinct(), "a", "left_anti")
+        rest = placed.join(centred.select(F.col("old").alias("a")).distinct(), "a", "left_anti").select("a", "b", "n_a", "n_b", "d")
         # a centre may be another shingle's pivot
-        placed = _placed(rest.unionByName(again).dropDuplicates(["a", "b"]), found)
+        met = rest.unionByName(again.drop("star", "link")).dropDuplicates(["a", "b"])
+        placed, before = _placed(met, found), placed
     last = _verified(across := _across(placed, sets, percent).withColumn("star", F.lit(True)), sets, percent)
     out = cut(found.unionByName(linked(last)))
-    discard(first, centred, again, placed, across, last, sets)
+    discard(first, centred, again, before, placed, across, last, sets)
     return out
 
 

@@ -672,3 +672,49 @@ def test_ngram_join_among_many_apart(spark):
                 changed = True
     assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()} == dict(enumerate(least))
     assert len(set(least)) > 17
+
+
+def test_ngram_join_leaves_members_without_partners(spark, monkeypatch):
+    """Texts that share a passage, most with too much of their own to be linked to any: the elements
+    in which those differ from their pivot are not compared, and no link of the others is lost."""
+    from tessera.llm import ngram_join
+
+    rows, real = [], ngram_join._differing
+
+    def counted(*args):
+        met, posted = real(*args)
+        rows.append(posted.count())
+        return met, posted
+
+    monkeypatch.setattr(ngram_join, "_differing", counted)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join(passage + [f"o{k}_{i}" for i in range(20)]) for k in range(200)]
+    texts += [t.replace("_19", "_x") for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    _, label = brute(texts)
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()} == dict(enumerate(label))
+    assert len(set(label)) == 200
+    # 60 texts have a partner; each differs from a pivot in some 50 elements
+    assert sum(rows) <= 60 * 60
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join_around_centres(spark, monkeypatch, seed):
+    """Bounds so low that nearly all goes around pivots and centres chosen by a few members: the
+    components equal those of a comparison of all pairs."""
+    from tessera.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LISTED", 2)
+    monkeypatch.setattr(ngram_join, "CENTRED", 4)
+    rng, texts = random.Random(seed), []
+    for group in range(3):
+        base = [f"w{group}_{i}" for i in range(30)] + [f"p{i}" for i in range(20)]
+        for _ in range(50):
+            words = list(base)
+            for at in rng.sample(range(50), rng.randint(0, 4)):
+                words[at] = rng.choice([f"x{rng.randint(0, 9)}", f"own{len(texts)}_{at}"])
+            texts.append(" ".join(words[: rng.randint(40, 50)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    _, label = brute(texts)
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()} == dict(enumerate(label))
+    assert len(set(label)) > 3
