@@ -154,6 +154,14 @@ class Join:
     using: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Made:
+    """A column of the lowering's own: its name and type."""
+
+    name: str
+    kind: str
+
+
 @dataclass
 class Query:
     items: list = field(default_factory=list)  # (expression, alias or None)

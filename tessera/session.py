@@ -184,7 +184,7 @@ class Session:
 
     def lowering(self, params=None) -> Lowering:
         known = {name: (e.view, e.columns | {c: kind for c, (_, kind) in e.computed.items()}) for name, e in self.tables.items()}
-        return Lowering(known, params, self.implicit_group, self.default_table, self.expand, self.functions, self.aggregates, self.operators)
+        return Lowering(known, params, self.implicit_group, self.default_table, self.expand, self.functions, self.aggregates, self.operators, self.spark)
 
     def lowered(self, query: a.Query, params=None) -> Block:
         own = self.lowering(params)
