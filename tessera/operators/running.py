@@ -1,5 +1,6 @@
 """Windows over all rows, in order, as many tasks: rows are dealt by ranges of the order, each range
-is numbered or summed by itself, and what the ranges before it hold is added."""
+is numbered or summed by itself, and what the ranges before it hold is added. Counts of the rows below
+another row's value are such sums over both sides."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tessera.sources.scratch import cut, discard, shared_folder, stored_bytes
 
@@ -114,10 +116,17 @@ def add(frame: DataFrame, steps: list[Running | Counted]) -> DataFrame:
     return frame
 
 
-def fits(frame: DataFrame) -> bool:
-    """Whether a scratch table can hold the frame's columns, and has a folder."""
+def fits(frame: DataFrame, step: Running | Counted) -> bool:
+    """Whether a scratch table can hold the frames' columns, and has a folder; and whether the sides of
+    a count compare as they sort in one column."""
     try:
         shared_folder(frame.sparkSession)
     except ValueError:
         return False
-    return not frame.isStreaming and not any(re.search(r"(^|[:<,])(void|interval|variant)($|[,>])", f.dataType.simpleString()) for f in frame.schema)
+    frames = [frame]
+    if isinstance(step, Counted):
+        k, outer = step.inner.schema["k"].dataType, frame.schema[step.outer].dataType
+        if k != outer and not (isinstance(k, NumericType) and isinstance(outer, NumericType)):
+            return False
+        frames.append(step.inner)
+    return not any(f.isStreaming or any(re.search(r"(^|[:<,])(void|interval|variant)($|[,>])", c.dataType.simpleString()) for c in f.schema) for f in frames)

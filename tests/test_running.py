@@ -71,3 +71,28 @@ def test_blocks_around_windows_over_all_rows(ranged):
     assert [r.n for r in session.execute("SELECT id, row_number() OVER (ORDER BY 1) AS n FROM u ORDER BY n").collect()] == list(range(1, 101))
     with pytest.raises(QueryError):
         session.execute("SELECT sum(nope) OVER (ORDER BY id) FROM t")
+
+
+@pytest.mark.parametrize("name", ["order_by_subquery", "corr_scalar_neq"])
+def test_counts_under_an_inequality_compare_no_pairs(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "Join Cross" not in text and "Join LeftOuter, (s_suppkey" not in text and "windowspecdefinition(__p" in text
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_counts_under_an_inequality(ranged, op):
+    text = f"SELECT id, (SELECT count(*) FROM u AS x WHERE x.v {op} t.v) AS n, (SELECT count(x.s) FILTER (WHERE x.k > 5) FROM u AS x WHERE t.k + 1 {op} x.k AND x.id > 30 AND x.s IS NOT NULL) * 2 AS m, (SELECT count(*) FROM u AS x WHERE x.s {op} t.s) AS s FROM t WHERE id <> 5"
+    assert "Join LeftOuter" not in both(ranged, text).replace("Join LeftOuter, (__p", "")
+    both(ranged, f"SELECT id, (SELECT count(*) FROM u AS x WHERE x.f {op} t.v) AS n, (SELECT count(*) FROM u AS x WHERE x.f {op} t.f) AS f, (SELECT count(*) FROM e AS x WHERE x.id {op} t.id) AS e, (SELECT count(*) FROM (SELECT id, v * 2 AS w FROM t) AS x WHERE t.id {op} x.w) AS w FROM t")
+
+
+def test_blocks_around_counts_under_an_inequality(ranged):
+    session, con = ranged
+    both(ranged, "SELECT k, n, (SELECT count(*) FROM u AS x WHERE x.v < y.v) AS m FROM (SELECT k, count(*) AS n, max(v) AS v FROM t GROUP BY k) AS y")
+    both(ranged, "SELECT k, count(*) AS n, (SELECT count(*) FROM u AS x WHERE x.k < t.k) AS m FROM t GROUP BY k")
+    both(ranged, "WITH w AS (SELECT v, id FROM u WHERE id > 9) SELECT id, (SELECT count(*) FROM w WHERE w.v < t.v) AS n, rank() OVER (ORDER BY k) AS r FROM t WHERE v > 2")
+    both(ranged, "SELECT DISTINCT coalesce((SELECT count(*) FROM u AS x WHERE x.k >= t.k), 0) AS n FROM t")
+    # other conditions on the outer row, or none that compares, stay as they are
+    both(ranged, "SELECT id, (SELECT count(*) FROM u AS x WHERE x.k < t.k AND x.s = t.s) AS n, (SELECT count(*) FROM u AS x WHERE x.v < 3) AS m FROM t")
+    found = session.execute("SELECT id FROM t ORDER BY (SELECT count(*) FROM t AS x WHERE x.id < t.id) DESC LIMIT 3").collect()
+    assert [r.id for r in found] == [299, 298, 297]
