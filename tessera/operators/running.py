@@ -14,8 +14,9 @@ from pyspark.sql.types import NumericType
 from tessera.sources.scratch import cut, discard, shared_folder, stored_bytes
 
 FUNCTIONS = {"row_number", "rank", "dense_rank", "count", "sum", "min", "max"}
-#: Estimated bytes of a range, where that makes more ranges than Spark has shuffle partitions.
-RANGE_BYTES = 4 << 20
+#: Estimated bytes of a range (of Parquet, where a table is read): Spark's adaptive execution would
+#: merge ranges until each core has one, whose memory grows with the input.
+RANGE_BYTES = 2 << 20
 #: Estimates from here on say that nothing is known.
 UNKNOWN = 1 << 60
 
@@ -50,7 +51,7 @@ def _keys(order) -> list[Column]:
 def _ranges(frame: DataFrame, keys: list[Column]) -> DataFrame:
     parts, size = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored_bytes(frame)
     wanted = min(size // RANGE_BYTES, 10 * parts) if size < UNKNOWN else 0
-    return frame.repartitionByRange(wanted, *keys) if wanted > parts else frame.repartitionByRange(*keys)
+    return frame.repartitionByRange(wanted, *keys) if wanted > 1 else frame.repartitionByRange(*keys)
 
 
 def _dealt(frame: DataFrame, keys: list[Column], peers: bool) -> DataFrame:
